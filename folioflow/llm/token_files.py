@@ -41,12 +41,13 @@ def filesystem(uri: str):
 
 
 class LibraryPieces(dict):
-    """Pre-token to its ids' bytes, by the tokenizers library's model; forgets all when full."""
+    """Pre-token to its ids' bytes, by the tokenizers library's model; keeps between `limit` and twice as many, the latest used."""
 
-    def __init__(self, path: str, width: str, limit: int = 250_000):
+    def __init__(self, path: str, width: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.model, self.width, self.limit = tokenizer.model, width, limit
         self.char = {b: c for c, b in alphabet().items()}
@@ -55,9 +56,12 @@ class LibraryPieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        name = piece.encode("utf-8", "replace").decode("latin-1").translate(self.char)
-        self[piece] = ids = np.array([t.id for t in self.model.tokenize(name)], self.width).tobytes()
+        if (ids := self.before.get(piece)) is None:
+            name = piece.encode("utf-8", "replace").decode("latin-1").translate(self.char)
+            ids = np.array([t.id for t in self.model.tokenize(name)], self.width).tobytes()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
