@@ -50,13 +50,17 @@ def matches_phrase(tokens: Column, terms: list[str]) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(terms)} ")) if terms else F.lit(False)
 
 
+def _is(term: str):
+    return lambda w: w == term
+
+
 def bm25(docs: DataFrame, key: list[str], terms: list[str], top: int | None = None) -> DataFrame:
     """[FT7, SL1] key, score (lower is better) of the rows of docs (key, text) that hold every term.
 
     Corpus size, mean length and the terms' document frequencies come from one aggregate over the rows. A repeated
     term counts again. With `top`, only the best rows go on, by (score, key), before anything is joined to them."""
     tokens = docs.select(*key, search_terms(F.col("text")).alias("_t"))
-    counts = {t: F.size(F.filter("_t", lambda w, t=t: w == t)) for t in dict.fromkeys(terms)}
+    counts = {t: F.size(F.filter("_t", _is(t))) for t in dict.fromkeys(terms)}
     counted = tokens.select(*key, F.size("_t").alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(counts.values())])
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(counts))])
     hit = counted.where(F.expr(" AND ".join(f"_c{i} > 0" for i in range(len(counts))) or "false")).crossJoin(F.broadcast(stats))  # one row

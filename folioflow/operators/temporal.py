@@ -81,7 +81,8 @@ def agreed_offset(values: DataFrame, key: str, value: str, tolerance: float, lea
 
     The best centre has the most values near it, then is the smallest; fewer than `least` give no offset. A running count over
     the sorted values takes the place of a self join."""
-    near = Window.partitionBy(key).orderBy(F.col(value).cast("double")).rangeBetween(-tolerance, tolerance)
+    reach = round(tolerance * 1000)  # frames need whole numbers: thousandths
+    near = Window.partitionBy(key).orderBy(F.round(F.col(value) * 1000).cast("long")).rangeBetween(-reach, reach)
     counted = values.withColumn("_n", F.count("*").over(near)).withColumn("_set", F.collect_list(F.col(value).cast("double")).over(near))
     best = counted.groupBy(key).agg(F.max_by(F.struct("_n", "_set"), F.struct("_n", -F.col(value))).alias("b"))
     ordered = F.array_sort(F.col("b._set"))

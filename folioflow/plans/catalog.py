@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folioflow.plans import read_layer, text_layer
+
+FLAGSHIP = "search_one_hit_per_mention"
+QUERIES = read_layer.R.queries | text_layer.R.queries
+ORACLES = read_layer.R.oracles | text_layer.R.oracles
