@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,27 +57,45 @@ def bucket_of(key, starts: list[int]):
     return F.greatest(F.lit(0), F.aggregate(edges, F.lit(0), lambda n, s: n + (s <= key).cast("int")))
 
 
-class Hashes(dict):
-    """Word (bytes) to its 64-bit hash; forgets all when full, so memory is bounded."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """ASCII-lower-cased words between the ASCII white space characters."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def word_hashes(words: list[bytes], known: Hashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
+_CHUNK = 1 << 18
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+_POWERS = [_powers(_STEP, _CHUNK), _powers(_BACK, _CHUNK)]
+
+
+def hashed_words(text: str | None, letters: bytes = _PLAIN) -> np.ndarray:
+    """64-bit hashes of a text's words, in order. `letters` maps bytes to bytes; blanks part words. By default words stand
+    between the ASCII white space characters, A-Z in lower case.
+
+    A word's hash is its polynomial over the bytes, taken from running sums over the text, then mixed. Texts
+    are cut at blanks into chunks, so memory is bounded but for a single word's length."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(letters)
+    out = []
+    at = 0
+    while at < len(data):
+        stop = len(data) if len(data) - at <= _CHUNK else data.rfind(b" ", at, at + _CHUNK) + 1
+        if stop <= at:  # one word longer than a chunk
+            stop = data.find(b" ", at) + 1 or len(data)
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        if len(part) > len(_POWERS[0]):
+            _POWERS[:] = [_powers(_STEP, len(part)), _powers(_BACK, len(part))]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], part != 32, [False]]).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((part + np.uint64(1)) * _POWERS[0][: len(part)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * _POWERS[1][starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
