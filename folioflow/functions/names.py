@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The public Soundex classes; vowels, h, w and y have none.
 SOUND_CLASSES = {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}
@@ -49,7 +50,7 @@ def _similarity(a: str, b: str) -> float:
     return jaro if jaro <= 0.7 else jaro + head * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """[ST14] Prefix of up to four with weight 0.1, only above 0.7; half transpositions aren't rounded."""
     return pd.Series([None if x is None or y is None else _similarity(x, y) for x, y in zip(a, b)], dtype="float64")
