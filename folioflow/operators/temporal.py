@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,27 +55,33 @@ def runs(lines: DataFrame, key: str, order: list[str], opens: Column) -> DataFra
 def last_in_order(candidates: DataFrame) -> DataFrame:
     """[SL6] The longest chain of (item, time) with items rising and times not falling, a group: group, item, time.
 
-    Among chains of one length the one with the smaller sum of times, then the first found. Each group is one function call; a group
-    is a meeting's agenda, bounded by its items."""
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["item", "time"], kind="stable")
-        items, times = rows["item"].tolist(), rows["time"].tolist()
-        best: list[tuple[int, int, int]] = []  # length, minus the sum, the row before
-        for i, (item, time) in enumerate(zip(items, times)):
-            own = (1, -time, -1)
-            for j in range(i):
-                if items[j] < item and times[j] <= time and (best[j][0] + 1, best[j][1] - time) > own[:2]:
-                    own = (best[j][0] + 1, best[j][1] - time, j)
-            best.append(own)
-        at = max(range(len(best)), key=lambda i: best[i][:2], default=-1)
-        kept = []
-        while at >= 0:
-            kept.append(at)
-            at = best[at][2]
-        return rows.iloc[kept[::-1]]
-
-    return candidates.groupBy("group").applyInPandas(chain, candidates.schema)
+    Among chains of one length the one with the smaller sum of times, then the first found. A group becomes one sorted row
+    (a meeting's agenda, bounded by its items), and each batch of rows is one function call."""
+    listed = candidates.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("item", "time"))).alias("rows"))
+    kinds = dict(candidates.dtypes)
+    schema = f"group {kinds['group']}, chain array<struct<item:{kinds['item']},time:{kinds['time']}>>"
+
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"group": b["group"], "chain": [_chain(list(rows)) for rows in b["rows"]]})
+
+    return listed.mapInPandas(chains, schema).select("group", F.inline("chain"))
+
+
+def _chain(rows: list[dict]) -> list[dict]:
+    best: list[tuple[int, int, int]] = []  # length, minus the sum, the row before
+    for i, x in enumerate(rows):
+        own = (1, -x["time"], -1)
+        for j in range(i):
+            if rows[j]["item"] < x["item"] and rows[j]["time"] <= x["time"] and (best[j][0] + 1, best[j][1] - x["time"]) > own[:2]:
+                own = (best[j][0] + 1, best[j][1] - x["time"], j)
+        best.append(own)
+    at = max(range(len(best)), key=lambda i: best[i][:2], default=-1)
+    kept = []
+    while at >= 0:
+        kept.append(rows[at])
+        at = best[at][2]
+    return kept[::-1]
 
 
 def agreed_offset(values: DataFrame, key: str, value: str, tolerance: float, least: int) -> DataFrame:
