@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioflow.plans import read_layer, text_layer
+from folioflow.plans import evidence_layer, read_layer, text_layer
 
 FLAGSHIP = "search_one_hit_per_mention"
-QUERIES = read_layer.R.queries | text_layer.R.queries
-ORACLES = read_layer.R.oracles | text_layer.R.oracles
+QUERIES = read_layer.R.queries | text_layer.R.queries | evidence_layer.R.queries
+ORACLES = read_layer.R.oracles | text_layer.R.oracles | evidence_layer.R.oracles
