@@ -1,4 +1,4 @@
-"""Operator 10: removal of repeated multi-line chunks with content-defined boundaries. DataFrame functions only."""
+"""Operator 10: removal of repeated runs of lines, found by seeds whose ends depend on their own lines only. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from folioflow.llm.common import cut, table
 DIVISOR = 2
 #: A line of at least so many blanks-separated words is a passage: a chunk of its own.
 PASSAGE_WORDS = 30
-#: A chunk of fewer words is never removed, however many lines it has.
+#: A run of fewer words is never removed, however many lines it has. (A line has one word at least, so a seed has so many lines at most.)
 LEAST_WORDS = 8
+#: A seed is one number: its first line times this, and how many lines it has.
+SHIFT = 16
 
 
 def _words(line: Column) -> Column:
@@ -20,7 +22,7 @@ def _words(line: Column) -> Column:
 
 
 def _chunk_array(docs: DataFrame) -> DataFrame:
-    """Adds _chunks array<string> to docs: the text's lines in runs whose ends depend on the lines near them only.
+    """Adds _chunks array<string> to docs: the text's lines in runs whose ends depend on the lines near them only. (And _lines, _starts.)
 
     The hash of each line is rolled over the line before it; where the result is divisible by DIVISOR a run ends. A
     passage line stands alone. So lines put in or taken out elsewhere shift no boundary. The runs joined by line feeds
@@ -40,47 +42,78 @@ def _chunk_array(docs: DataFrame) -> DataFrame:
     step = step.withColumn("_starts", F.filter(F.transform("_h", lambda h, i: F.when(opens(h, i), i + 1)), lambda x: x.isNotNull()))
     ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_lines") + 1))
     run = lambda s: F.array_join(F.slice("_lines", s["_starts"], s["ends"] - s["_starts"]), "\n")
-    return step.withColumn("_chunks", F.transform(F.arrays_zip("_starts", ends.alias("ends")), run)).drop("_lines", "_h", "_big", "_starts")
+    return step.withColumn("_chunks", F.transform(F.arrays_zip("_starts", ends.alias("ends")), run)).drop("_h", "_big")
 
 
-def _removable(chunk: Column) -> Column:
-    return (_words(F.replace(chunk, F.lit("\n"), F.lit(" "))) >= LEAST_WORDS) & (chunk.contains("\n") | (_words(chunk) >= PASSAGE_WORDS))
+def _seeds(docs: DataFrame) -> DataFrame:
+    """Adds _seeds array<struct<k, n, h, g>> to docs: the first line, the length in lines and two hashes of each seed.
+
+    Seeds are the passage lines, and for each line the shortest run of at least two lines and LEAST_WORDS that starts there, and
+    the shortest that ends there. They depend on no line outside. Each line of a run of two lines and LEAST_WORDS is in a seed
+    inside the run, so equal runs have equal seeds that cover them. Two passage lines make no seed: each is one."""
+    step = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    step = step.withColumn("_w", F.transform("_lines", _words)).withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x))).withColumn("_g", F.transform("_lines", lambda x: F.xxhash64(F.lit(7), x)))
+
+    def lines(w: Column, i: Column, way: int) -> Column:
+        """Of the shortest run from line i on or back; null if the text ends before."""
+        total, n = w, F.lit(None).cast("long")
+        sums = [total := total + F.get("_w", i + way * k) for k in range(1, LEAST_WORDS)]
+        for k in range(LEAST_WORDS - 1, 0, -1):
+            n = F.when(sums[k - 1] >= LEAST_WORDS, F.lit(k + 1).cast("long")).otherwise(n)
+        return F.when((w < PASSAGE_WORDS) | (F.get("_w", i + way) < PASSAGE_WORDS), n)
+
+    on = F.transform("_w", lambda w, i: i * F.lit(SHIFT).cast("long") + lines(w, i, 1))
+    back = F.transform("_w", lambda w, i: F.transform(F.array(lines(w, i, -1)), lambda n: (i - n + 1) * F.lit(SHIFT).cast("long") + n)[0])
+    alone = F.transform("_w", lambda w, i: F.when(w >= PASSAGE_WORDS, i * F.lit(SHIFT).cast("long") + 1))
+    step = step.withColumn("_at", F.array_distinct(F.filter(F.concat(on, back, alone), lambda x: x.isNotNull())))
+
+    def seed(x: Column) -> Column:
+        k, n = F.shiftright(x, 4).cast("int"), F.pmod(x, F.lit(SHIFT)).cast("int")
+        return F.struct(k.alias("k"), n.alias("n"), F.xxhash64(F.slice("_h", k + 1, n)).alias("h"), F.xxhash64(F.slice("_g", k + 1, n)).alias("g"))
+
+    return step.withColumn("_seeds", F.transform("_at", seed)).drop("_lines", "_w", "_h", "_g", "_at")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and the columns n_chunks, n_removed.
+    """docs with repeated runs of lines taken out of text, and the columns n_chunks, n_removed.
 
-    Of all places of a chunk, the first by (doc_id, text hash, position) stays. A chunk is removable if it has at least two
-    lines or is a passage of PASSAGE_WORDS, and has LEAST_WORDS. Chunks are grouped by two 64-bit hashes; a group
-    whose bytes are not all equal (compared as a whole by their minimum and maximum) is left alone.
+    A run is a passage line of PASSAGE_WORDS, or at least two lines with LEAST_WORDS together. A run that equals an
+    earlier one, in the order (doc_id, text hash, position), goes whole, but not lines that overlap their first place. So
+    the first place of every line stays; a line that is neither a passage nor beside a repeated line stays too. Runs are found by
+    their seeds (see _seeds), grouped by two 64-bit hashes; a group whose bytes are not all equal (compared as a
+    whole by their minimum and maximum) is left alone. n_chunks counts the text's chunks, n_removed those that lost lines.
 
     All rows are kept: a text of which nothing is left is empty, a null text stays null; rows without doc_id come first;
     repeated rows are copies (equal rows of one doc_id count as one document, so neither loses more than the other); an
     empty table gives an empty result; extra columns are kept (those named n_chunks, n_removed or with a leading
     underscore and a name used here are replaced)."""
-    kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed", "_chunks", "_id", "_key", "_dup")]
+    kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed", "_chunks", "_lines", "_starts", "_id", "_key", "_dup")]
     absent = F.lit(-(2**63))
     identity = F.coalesce(F.col("doc_id").cast("long"), absent)
     rows = docs.select(identity.alias("_id"), F.xxhash64("text").alias("_key"), *[c for c in kept if c != "doc_id"])
-    hashed = _chunk_array(rows.select("_id", "_key", "text"))
-    marks = F.transform("_chunks", lambda c, i: F.when(_removable(c), F.struct(i.alias("k"), F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))))
-    spread = cut(hashed.select("_id", "_key", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("c")).select("_id", "_key", "c.*"))
+    spread = cut(_seeds(rows.select("_id", "_key", "text")).select("_id", "_key", F.explode_outer("_seeds").alias("c")).where("c is not null").select("_id", "_key", "c.*"))  # outer: else a filter on the array repeats all its steps
     place = F.struct("_id", "_key", "k")
     groups = spread.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
-    repeats = spread.join(groups, ["h", "g"]).select("_id", "_key", F.struct("k", "h", "g", (place == F.col("first")).alias("first")).alias("d"))
+    overlaps = (F.col("_id") == F.col("first._id")) & (F.col("_key") == F.col("first._key")) & (F.col("k") < F.col("first.k") + F.col("n"))
+    repeats = spread.join(groups, ["h", "g"]).select("_id", "_key", F.struct("k", "n", "h", "g", overlaps.alias("stays")).alias("d"))
     lists = cut(repeats.groupBy("_id", "_key").agg(F.collect_set("d").alias("_dup")))
     joined = rows.join(lists, ["_id", "_key"], "left")
     whole = _chunk_array(joined)
-    texts = whole.where("_dup is not null").select("_chunks", F.explode("_dup").alias("d")).select("d.h", "d.g", F.element_at("_chunks", F.col("d.k") + 1).alias("chunk"))
-    unequal = texts.groupBy("h", "g").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where("lo <> hi")
+    run = F.array_join(F.slice("_lines", F.col("d.k") + 1, F.col("d.n")), "\n")
+    texts = whole.where("_dup is not null").select("_lines", F.explode("_dup").alias("d")).select("d.h", "d.g", run.alias("run"))
+    unequal = texts.groupBy("h", "g").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi")
     wrong = unequal.select(F.struct("h", "g").alias("w")).agg(F.collect_list("w").alias("_wrong"))  # hash collisions only
     apart = whole.join(F.broadcast(wrong), F.lit(True))
-    gone = F.transform(F.filter(F.coalesce("_dup", F.array()), lambda d: ~d["first"] & ~F.array_contains("_wrong", F.struct(d["h"].alias("h"), d["g"].alias("g")))), lambda d: d["k"])
+    repeated = F.filter(F.coalesce("_dup", F.array()), lambda d: ~d["stays"] & ~F.array_contains("_wrong", F.struct(d["h"].alias("h"), d["g"].alias("g"))))
+    gone = F.array_distinct(F.flatten(F.transform(repeated, lambda d: F.sequence(d["k"], d["k"] + d["n"] - 1))))
     out = apart.withColumn("_gone", gone)
-    left = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     new_text = F.when(F.col("text").isNull() | (F.size("_gone") == 0), F.col("text")).otherwise(F.array_join(left, "\n"))
+    stops = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_lines") + 1))
+    chunk_of = F.flatten(F.zip_with("_starts", stops, lambda s, e: F.array_repeat(s, e - s)))
+    n_removed = F.when(F.size("_gone") == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.transform("_gone", lambda i: F.get(chunk_of, i)))))
     own = {"text": new_text.alias("text"), "doc_id": F.when(F.col("_id") != absent, F.col("_id")).alias("doc_id")}
-    return out.select(*[own.get(c, F.col(c)) for c in kept], F.size("_chunks").alias("n_chunks"), F.size("_gone").alias("n_removed"))
+    return out.select(*[own.get(c, F.col(c)) for c in kept], F.size("_starts").alias("n_chunks"), n_removed.alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
