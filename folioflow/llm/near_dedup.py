@@ -24,11 +24,11 @@ BASE = 1.08
 OFFSET = 40
 #: Kinds of heads: the head of a bucket is the smallest by a hash that is the same for every HEADS-th band.
 HEADS = 2
-#: Sets of a bucket that meet in one piece of work, and comparisons of sketches from which a bucket is divided by a second band.
+#: Sets of a bucket that meet in one piece of work, and comparisons of sketches from which buckets with one largest component stay apart.
 BLOCK = 512
 WORK = 1 << 26
-#: Pairs whose estimated similarity is below this (over 3 standard deviations below the threshold) aren't verified.
-LEAST = 0.65
+#: Pairs whose estimated similarity is below this (over 6 standard deviations below the threshold) aren't verified.
+LEAST = 0.55
 
 _rng = np.random.default_rng(20_240_229)
 _ODD = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -215,22 +215,13 @@ def _apart_in_buckets(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tex
     Nodes outside a bucket's largest component are compared with all its nodes that agree in a band, in blocks of both: by sketch,
     then, where the estimate lets them through, by their whole sets. Buckets with the same largest component meet as
     one, so a node goes there once, not once a band; where that would take more than WORK comparisons, they stay apart, and a pair is
-    verified in the first band it agrees in only. A bucket that would take more than WORK comparisons by itself is divided by
-    the later bands first, again and again."""
+    verified in the first band it agrees in only. No bucket is divided: the block pairs of a large one are spread over tasks."""
     rows = cut(_mixed(buckets.select("node", "key", "band", F.col("band").alias("first")), comps))
     met = rows.select("major", "node", "comp").distinct()
     sums = cut(met.groupBy("major").agg(F.count("*").alias("size"), F.sum((F.col("comp") != F.col("major")).cast("long")).alias("minor")))
     dealt = _blocks(cut(met.join(sums.where(F.col("minor") * F.col("size") <= WORK), "major").withColumn("key", F.col("major")).withColumn("first", F.lit(-1))))
     rows = rows.join(sums.where(F.col("minor") * F.col("size") > WORK).select("major"), "major", "left_semi")
-    for _ in range(BANDS):
-        rows = cut(rows)
-        easy = (F.col("minor") * F.col("size") <= WORK) | (F.col("band") == BANDS - 1)
-        dealt = dealt.unionByName(_blocks(rows.where(easy)))
-        large = rows.where(~easy)
-        if large.isEmpty():
-            break
-        spread = large.select("node", "key", "first", F.col("band").alias("last")).join(sets.select("node", "keys"), "node").select("node", "key", "first", "last", F.posexplode("keys").alias("band", "other")).where("band > last")
-        rows = _mixed(spread.select("node", F.xxhash64("key", "band", "other").alias("key"), "band", "first"), comps)
+    dealt = dealt.unionByName(_blocks(cut(rows)))
     full = dealt.join(sets.select("node", "n", "regs"), "node").join(texts, "node")
 
     def pairs(group: list[tuple]) -> pd.DataFrame:
