@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,22 +16,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    if not (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
-        found = sc.getCheckpointDir()
-    return found
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none, a folder of the warehouse, or on a
+    local master a temporary one."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/folioflow-scratch"
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Tables written to the shared folder, so that lineage ends there and outlives executors. A table is deleted as soon as
+    no later step reads it; what a lazy result still reads stays."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder = spark, own_folder(spark, kind)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: survives lost executors, is computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table of its own in the shared folder, computed once."""
+    return Scratch(df.sparkSession, "cut").write("table", df)
 
 
-def own_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def text_key() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, whatever their names), i (doc_id), k (text_key); "row.*" gives docs again."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), text_key().alias("k"))
 
 
 def partitions_for(spark: SparkSession) -> int:

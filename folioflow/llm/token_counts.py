@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.bpe import WIDE, Bpe, load, pieces, vocabulary_path
-from folioflow.llm.common import table
+from folioflow.llm.bpe import BEYOND, NARROW, WIDE, Bpe, load, pieces, vocabulary_path
+from folioflow.llm.common import Scratch, table
 
 #: Pre-tokens of a leaf when a tree is built, and pre-tokens before an edit that are read again: white space before it can
 #: be split otherwise once what follows changes.
@@ -38,28 +38,56 @@ def _counts(path: str) -> Counts:
     return Counts(load(path))
 
 
-class CountTree:
-    """Characters and tokens of a text's pre-tokens, in leaves, with sums in all inner nodes.
+def boundaries(bpe: Bpe, text: str, at: int = 0) -> Iterator[tuple[int, bool]]:
+    """Ends of the pre-tokens from a boundary on, and whether each is a special string (which is one token, and ends a text for the split pattern)."""
+    specials = bpe.split_special.finditer(text, at) if bpe.split_special else iter(())
+    pattern = WIDE if BEYOND.search(text) else NARROW
+    while at < len(text):
+        special = next(specials, None)
+        stop = special.start() if special else len(text)
+        for m in pattern.finditer(text, at, stop):
+            yield m.end(), False
+        if special:
+            yield special.end(), True
+        at = special.end() if special else len(text)
 
-    An edit costs a walk from the root, the encoding of the pre-tokens that it changes, and the sums above them.
-    Special strings are ordinary text here."""
 
-    def __init__(self, text: str, counts: Counts):
-        self.text, self.counts = text, counts
-        found = pieces(text)
-        chars = np.fromiter(map(len, found), np.int64, len(found))
-        tokens = np.fromiter(map(counts.__getitem__, found), np.int64, len(found))
-        self.leaves = [(chars[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, max(1, len(found)), LEAF)]
+class CountTree:
+    """A text in leaves of pre-tokens, with the characters and tokens of each pre-token, and their sums in all inner nodes.
+
+    An edit costs a walk from the root, the encoding of the pre-tokens that it changes and the sums above them: text outside
+    the leaves it touches is neither read nor copied. A leaf of over 2 LEAF pre-tokens is split, and the inner sums are then
+    made anew (once for LEAF new pre-tokens at most). A tree is loaded from its table row without encoding anything."""
+
+    def __init__(self, counts: Counts, text: str, chars: np.ndarray, tokens: np.ndarray):
+        self.counts, self.encoded_chars = counts, 0
+        ends = np.cumsum(chars)
+        self.leaves = []
+        for i in range(0, max(1, len(chars)), LEAF):
+            c = chars[i : i + LEAF]
+            stop = int(ends[i + len(c) - 1]) if len(c) else 0
+            self.leaves.append((text[stop - int(c.sum()) : stop], c, tokens[i : i + LEAF]))
+        self._sum()
+
+    @classmethod
+    def build(cls, counts: Counts, text: str) -> CountTree:
+        """Encodes the whole text."""
+        return cls(counts, text, *_whole(counts, text))
+
+    def _sum(self) -> None:
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (c, t) in enumerate(self.leaves):
-            self.sums[self.width + i] = c.sum(), t.sum()
+        for i, (t, _, n) in enumerate(self.leaves):
+            self.sums[self.width + i] = len(t), n.sum()
         level = self.width
         while level > 1:
             half = level // 2
             self.sums[half:level] = self.sums[level : 2 * level].reshape(half, 2, 2).sum(1)
             level = half
-        self.encoded_chars = 0
+
+    @property
+    def n_chars(self) -> int:
+        return int(self.sums[1, 0])
 
     @property
     def n_tokens(self) -> int:
@@ -69,8 +97,16 @@ class CountTree:
     def depth(self) -> int:
         return self.width.bit_length()
 
+    @property
+    def text(self) -> str:
+        return "".join(t for t, _, _ in self.leaves)
+
+    def kept(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, characters and tokens of the pre-tokens: what a table keeps."""
+        return self.text, *(np.concatenate([x[k] for x in self.leaves]).astype(np.int32) for k in (1, 2))
+
     def _leaf_at(self, at: int) -> tuple[int, int]:
-        """The leaf with the character at this place (the last leaf beyond the end), and where the leaf starts."""
+        """The leaf with the character at this place (the last one with text beyond the end), and where the leaf starts."""
         node, before = 1, 0
         while node < self.width:
             node *= 2
@@ -79,97 +115,152 @@ class CountTree:
                 node += 1
         return node - self.width, before
 
-    def _set(self, leaf: int, chars: np.ndarray, tokens: np.ndarray) -> None:
-        self.leaves[leaf] = chars, tokens
+    def _set(self, leaf: int, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.leaves[leaf] = text, chars, tokens
         node = self.width + leaf
-        change = np.array([chars.sum(), tokens.sum()]) - self.sums[node]
+        change = np.array([len(text), tokens.sum()]) - self.sums[node]
         while node:
             self.sums[node] += change
             node //= 2
 
     def _back(self, at: int) -> tuple[int, int, int]:
-        """Leaf, index in it and character place of the pre-token that is CONTEXT before the one holding the character at - 1."""
+        """Leaf, index in it and place of the pre-token that is CONTEXT before the one that holds the character before `at`."""
         leaf, start = self._leaf_at(max(0, at - 1))
-        ends = start + np.cumsum(self.leaves[leaf][0])
+        ends = start + np.cumsum(self.leaves[leaf][1])
         k = min(int(np.searchsorted(ends, max(0, at - 1), side="right")), max(0, len(ends) - 1))
         place = int(ends[k - 1]) if k else start
         for _ in range(CONTEXT):
             while k == 0 and leaf > 0:
                 leaf -= 1
-                k = len(self.leaves[leaf][0])
+                k = len(self.leaves[leaf][1])
             if k == 0:
                 break
             k -= 1
-            place -= int(self.leaves[leaf][0][k])
+            place -= int(self.leaves[leaf][1][k])
         return leaf, k, place
 
     def edit(self, start: int, stop: int, new: str) -> None:
-        """Puts `new` in the place of the characters from start to stop."""
-        start = max(0, min(start, len(self.text)))
-        stop = max(start, min(stop, len(self.text)))
-        text = self.text[:start] + new + self.text[stop:]
-        shift = len(text) - len(self.text)
-        leaf, k, place = self._back(start)
-        old_leaf, old_k, old_end = leaf, k, place
-        fresh: list[str] = []
-        at, met = place, place >= stop + shift and not new and start == stop
-        found = WIDE.finditer(text, place)
-        while not met:
-            # old pre-tokens up to the new place, if it is beyond the edit; both at one border: the rest is as before
-            if at >= start + len(new):
-                while old_end + shift < at or old_end < stop:
-                    while old_leaf < len(self.leaves) and old_k >= len(self.leaves[old_leaf][0]):
-                        old_leaf, old_k = old_leaf + 1, 0
-                    if old_leaf >= len(self.leaves):
+        """Puts `new` in the place of the characters from start to stop.
+
+        Read again from CONTEXT pre-tokens before any special string that the edit could make or break; the text after the
+        edit is as before from the first place where an old and a new pre-token end together, that far beyond it."""
+        start = max(0, min(start, self.n_chars))
+        stop = max(start, min(stop, self.n_chars))
+        reach = max(map(len, self.counts.bpe.special), default=1)
+        leaf, k, place = self._back(start - reach)
+        head = self.leaves[leaf]
+        kept = int(head[1][:k].sum())
+        # leaves are joined until the pre-tokens meet again; from there on all is as before
+        last, region = leaf, head[0][kept:]
+        while True:
+            end = place + len(region)
+            more = last + 1 < len(self.leaves)
+            if end >= stop + reach or not more:
+                text = region[: start - place] + new + region[stop - place :]
+                # the last pre-tokens before a cut could go on beyond it
+                safe = len(text) if not more else len(text) - reach
+                old = place + np.cumsum(np.concatenate([x[1] for x in [(None, head[1][k:]), *self.leaves[leaf + 1 : last + 1]]]))
+                meeting = set(old[old >= stop].tolist())
+                shift, found, met = len(new) - (stop - start), [], None
+                for at, special in boundaries(self.counts.bpe, text):
+                    if at > safe:
                         break
-                    old_end += int(self.leaves[old_leaf][0][old_k])
-                    old_k += 1
-                if old_end + shift == at and old_end >= stop:
+                    found.append((at, special))
+                    if at >= start - place + len(new) and at + place - shift in meeting:
+                        met = at
+                        break
+                if met is not None or not more:
                     break
-            if (m := next(found, None)) is None:
-                break
-            fresh.append(m.group())
-            at = m.end()
-        self.text = text
-        self.encoded_chars += sum(map(len, fresh))
-        chars = np.array([len(p) for p in fresh], np.int64)
-        tokens = np.array([self.counts[p] for p in fresh], np.int64)
-        last = min(old_leaf, len(self.leaves) - 1)
-        rest = old_k if old_leaf < len(self.leaves) else len(self.leaves[last][0])
-        tail = [x[rest:] for x in self.leaves[last]]
-        head = [x[:k] for x in self.leaves[leaf]]
+            last += 1
+            region += self.leaves[last][0]
+        met = len(text) if met is None else met
+        chars, tokens = _measured(self.counts, text[:met], found)
+        self.encoded_chars += met
+        rest = int(np.searchsorted(old, met + place - shift, side="right")) if len(old) else 0  # old pre-tokens that were read again
+        old_chars = np.concatenate([head[1][k:], *[x[1] for x in self.leaves[leaf + 1 : last + 1]]])[rest:]
+        old_tokens = np.concatenate([head[2][k:], *[x[2] for x in self.leaves[leaf + 1 : last + 1]]])[rest:]
         empty = np.zeros(0, np.int64)
         for i in range(leaf + 1, last + 1):
-            self._set(i, empty, empty)
-        self._set(leaf, np.concatenate([head[0], chars, tail[0]]), np.concatenate([head[1], tokens, tail[1]]))
+            self._set(i, "", empty, empty)
+        self._set(leaf, head[0][:kept] + text, np.concatenate([head[1][:k], chars, old_chars]), np.concatenate([head[2][:k], tokens, old_tokens]))
+        if len(self.leaves[leaf][1]) > 2 * LEAF:
+            self._split(leaf)
+
+    def _split(self, leaf: int) -> None:
+        text, chars, tokens = self.leaves[leaf]
+        self.leaves[leaf : leaf + 1] = CountTree(self.counts, text, chars, tokens).leaves
+        self.leaves = [x for x in self.leaves if len(x[1])] or self.leaves[:1]
+        self._sum()
+
+
+def _measured(counts: Counts, text: str, ends: Iterable[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of the pre-tokens with these ends."""
+    chars, tokens, at = [], [], 0
+    for end, special in ends:
+        chars.append(end - at)
+        tokens.append(1 if special else counts[text[at:end]])
+        at = end
+    return np.array(chars, np.int64), np.array(tokens, np.int64)
+
+
+def _whole(counts: Counts, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of all pre-tokens of a text."""
+    chars, tokens = [], []
+    for part in counts.bpe.split_special.split(text) if counts.bpe.split_special else [text]:
+        if part in counts.bpe.special:
+            chars.append(len(part))
+            tokens.append(1)
+        else:
+            found = pieces(part)
+            chars += map(len, found)
+            tokens += map(counts.__getitem__, found)
+    return np.array(chars, np.int32), np.array(tokens, np.int32)
+
+
+#: A kept tree: text, characters and tokens of its pre-tokens, tokens now and when it was built, and what its edits had encoded.
+TREE = "doc_id long, text string, chars array<int>, tokens array<int>, n_tokens long, built_tokens long, encoded_chars long, depth int"
+_COLUMNS = [c.split()[0] for c in TREE.split(", ")]
+
+
+def count_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """A tree (TREE) for each row of docs (doc_id, text), to be written as a table; edited() goes on from there.
+
+    Null text is empty; rows without doc_id are counted like others; repeated rows each give a row; an empty table gives
+    an empty result; extra columns are ignored; special strings are one token each."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = _counts(path)
+        for b in batches:
+            measured = [_whole(counts, text) for text in b.text.array]
+            n = [int(t.sum()) for _, t in measured]
+            depth = [max(0, -(-len(c) // LEAF) - 1).bit_length() + 1 for c, _ in measured]
+            rows = {"doc_id": b.doc_id.astype("Int64"), "text": b.text, "chars": [c for c, _ in measured], "tokens": [t for _, t in measured]}
+            yield pd.DataFrame(rows | {"n_tokens": n, "built_tokens": n, "encoded_chars": 0, "depth": depth})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, TREE)
 
 
-def edited_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_chars_edited, encoded_chars, depth for each row of docs (doc_id, text, edits).
+def edited(trees: DataFrame, path: str | None = None) -> DataFrame:
+    """The trees (TREE and the column edits) after their edits: only the pre-tokens that these touch are encoded.
 
     edits: array<struct<start, stop, text>>, applied in order; places are code points of the text as it then is, and places
-    beyond its end mean its end. Null edits are none, null text is empty, a null replacement is empty. n_tokens counts the
-    whole text once; the edits only re-encode the pre-tokens they touch (encoded_chars of them). Rows without doc_id are
-    counted like others; repeated rows each give a row; an empty table gives an empty result; extra columns are ignored."""
+    beyond its end mean its end. Null edits are none, a null replacement is empty."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _counts(path)
         for b in batches:
             out = []
-            for doc_id, text, edits in zip(b.doc_id.array, b.text, b.edits):
-                tree = CountTree(text or "", counts)
-                before = tree.n_tokens
+            for doc_id, text, chars, tokens, built, encoded, edits in zip(b.doc_id.array, b.text, b.chars, b.tokens, b.built_tokens, b.encoded_chars, b.edits):
+                tree = CountTree(counts, text, np.asarray(chars, np.int64), np.asarray(tokens, np.int64))
                 for e in edits if edits is not None else []:
                     tree.edit(e["start"], e["stop"], e["text"] or "")
-                out.append((doc_id, before, tree.n_tokens, len(tree.text), tree.encoded_chars, tree.depth))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast("array<struct<start:bigint,stop:bigint,text:string>>").alias("edits"))
-    return rows.mapInPandas(run, SCHEMA)
-
+                out.append((doc_id, *tree.kept(), tree.n_tokens, built, encoded + tree.encoded_chars, tree.depth))
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
-SCHEMA = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, encoded_chars long, depth int"
+    edits = F.col("edits").cast("array<struct<start:bigint,stop:bigint,text:string>>")
+    return trees.select("doc_id", "text", "chars", "tokens", "built_tokens", "encoded_chars", edits.alias("edits")).mapInPandas(run, TREE)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -181,10 +272,14 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits of each document: a word put in at a third, ten characters replaced in the middle, ten cut near the end."""
-    docs = table(spark, sf_dir, "documents")
-    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    edit = lambda at, size, new: F.struct(at.alias("start"), (at + size).alias("stop"), new.alias("text"))
-    third, half, end = (n / 3).cast("long"), (n / 2).cast("long"), F.greatest(n - 20, F.lit(0).cast("long"))
-    edits = F.array(edit(third, 0, F.lit(" revised")), edit(half, 10, F.concat(F.lit(" no. "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), edit(end, 10, F.lit("")))
-    return edited_counts(docs.withColumn("edits", edits))
+    """Counts of each document, and after two rounds of edits of its kept tree: a word put in at a third and ten characters
+    replaced in the middle; then, from the table of the first round, ten cut near the end."""
+    scratch = Scratch(spark, "token-counts")
+    trees = scratch.write("trees", count_trees(table(spark, sf_dir, "documents")))
+    n = F.length("text").cast("long")
+    edit = lambda at, size, new: F.struct(at.cast("long").alias("start"), (at.cast("long") + size).alias("stop"), new.alias("text"))
+    first = F.array(edit(n / 3, 0, F.lit(" revised")), edit(n / 2, 10, F.concat(F.lit(" no. "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    once = scratch.write("once", edited(trees.withColumn("edits", first)))
+    scratch.drop("trees")
+    twice = edited(once.withColumn("edits", F.array(edit(F.greatest(n - 20, F.lit(0)), 10, F.lit("")))))
+    return twice.select("doc_id", F.col("built_tokens").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.length("text").cast("long").alias("n_chars_edited"), "encoded_chars", "depth")
