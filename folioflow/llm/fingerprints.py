@@ -6,16 +6,12 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, in_order, partitions_for, range_starts, table
-
-SLOTS = 1 << 20
-
+from folioflow.llm.common import Scratch, in_order, partitions_for, range_starts, table
 
 def canonical(text: str) -> bytes:
     """NFKC, case folded, NFKC again, runs of white space as one blank, none at the ends; in UTF-8."""
@@ -40,15 +36,44 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     The fingerprint is the 128-bit xxh3 digest of the canonical text. Inside buckets of equal digests the canonical
-    bytes are compared; where they differ, all but the first class get a suffix, so equal fingerprints mean equal
-    canonical texts. near_*: 1.0 where the canonical bytes are equal, else 0.0 (an exact digest has nothing between).
-    The next document is by ascending (doc_id, text), after the last the first. Null text is empty; rows without
-    doc_id come first; repeated rows each give a row; an empty table gives an empty result; extra columns are ignored.
-    `bits` shortens the digest (tests force collisions by it). edited_fingerprint is the digest without a suffix."""
-    spark = docs.sparkSession
+    bytes are compared; where they differ, each class but the first gets a suffix, in both fingerprint columns, so equal
+    fingerprints of texts mean equal canonical texts. near_*: 1.0 where the canonical bytes are equal, else 0.0 (an exact
+    digest has nothing between). The next document is by ascending (doc_id, text), after the last the first. Null text is
+    empty; rows without doc_id come first; repeated rows each give a row; an empty table gives an empty result; extra
+    columns are ignored. `bits` shortens the digest (tests force collisions by it)."""
+    scratch = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    starts = range_starts(docs, "doc_id", partitions_for(spark))
+    found = scratch.write("found", _in_turn(docs, bits, False))
+    several = scratch.write("several", found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    # the bytes of a bucket are compared by their least and greatest, so a bucket of any size is summed up where it is read
+    bucket = _digests(docs, bits).join(several, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+    mixed = scratch.write("mixed", bucket.where("lo <> hi").select("fingerprint"))
+    if not mixed.isEmpty():
+        found = _with_classes(scratch.write("whole", _in_turn(docs, bits, True)))
+    return found.select(*COLUMNS)
+
+
+def _with_classes(whole: DataFrame) -> DataFrame:
+    """Fingerprints with a suffix for each class but the first of different bytes under one digest. Only reached when digests collide."""
+    both = whole.select("fingerprint", "own").unionByName(whole.select(F.col("edited_fingerprint").alias("fingerprint"), F.col("edited_own").alias("own"))).distinct()
+    per = both.groupBy("fingerprint").agg(F.array_sort(F.collect_set("own")).alias("owns")).where(F.size("owns") > 1)
+    classes = per.select("fingerprint", F.posexplode("owns").alias("class", "own")).where("class > 0")
+    named = classes.select("fingerprint", "own", F.concat_ws("-", "fingerprint", "class").alias("name"))
+    for print_, own in (("fingerprint", "own"), ("edited_fingerprint", "edited_own")):
+        marks = named.select(F.col("fingerprint").alias(print_), F.col("own").alias(own), "name")
+        whole = whole.join(marks, [print_, own], "left").withColumn(print_, F.coalesce("name", print_)).drop("name")
+    return whole
+
+
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def _in_turn(docs: DataFrame, bits: int, with_bytes: bool) -> DataFrame:
+    """SCHEMA for each row, which meets the next one in the order of (doc_id, text); with_bytes: also own and edited_own, the canonical bytes."""
+    starts = range_starts(docs, "doc_id", partitions_for(docs.sparkSession))
     rows = in_order(docs, "doc_id", ["text"], starts, heads=True).select("doc_id", "text", "head")
+    columns = COLUMNS + ["own", "edited_own"] * with_bytes
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -64,51 +89,24 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
                     new = edit(was, text)
                     new_own = canonical(new)
                     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((was_id, len(was), sha, digest(was_own, bits), digest(new_own, bits), float(was_own == new_own), float(was_own == own)))
+                    told = (was_id, len(was), sha, digest(was_own, bits), digest(new_own, bits), float(was_own == new_own), float(was_own == own))
+                    out.append(told + (was_own, new_own) * with_bytes)
                 held = (doc_id, text, own)
                 ended = bool(head)
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
-
-    found = cut(rows.mapInPandas(per_partition, SCHEMA))
-    differing = _differing(docs, found, bits)
-    if differing.isEmpty():
-        return found
-    by_bytes = _canonical_rows(docs, bits).join(differing, ["fingerprint", "own"])
-    suffix = by_bytes.where("class > 0").select("doc_id", F.col("fingerprint"), F.concat_ws("-", "fingerprint", "class").alias("own_class")).distinct()
-    joined = found.join(suffix, ["doc_id", "fingerprint"], "left")
-    return joined.withColumn("fingerprint", F.coalesce("own_class", "fingerprint")).select(found.columns)
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
+    return rows.mapInPandas(per_partition, SCHEMA + ", own binary, edited_own binary" * with_bytes)
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+def _digests(docs: DataFrame, bits: int) -> DataFrame:
+    """fingerprint and canonical bytes of each row."""
 
-def _canonical_rows(docs: DataFrame, bits: int, slots: np.ndarray | None = None) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.doc_id.array, batch.text.array):
-                d = digest(own := canonical(text), bits)
-                if slots is None or slots[int(d[-8:], 16) % SLOTS]:
-                    out.append((doc_id, d, own))
-            yield pd.DataFrame(out, columns=["doc_id", "fingerprint", "own"]).astype({"doc_id": "Int64"})
-
-    return docs.mapInPandas(rows, "doc_id long, fingerprint string, own binary")
-
-
-def _differing(docs: DataFrame, found: DataFrame, bits: int) -> DataFrame:
-    """fingerprint, own (canonical bytes), class (0, 1, ...) of the digests that stand for several byte strings.
-
-    A bitmap of fixed size tells which digests occur more than once, so that only their texts are compared."""
-    slot = F.conv(F.substring("fingerprint", -8, 8), 16, 10).cast("long") % SLOTS
-    several = found.groupBy("fingerprint").count().where("count > 1").select(slot.alias("slot")).distinct()
-    slots = np.zeros(SLOTS, bool)
-    slots[[r["slot"] for r in several.collect()]] = True  # at most SLOTS numbers
-    texts = _canonical_rows(docs, bits, slots).select("fingerprint", "own").distinct()
-    many = texts.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    per = texts.join(many, "fingerprint", "left_semi")
-    ranked = per.join(per.select("fingerprint", F.col("own").alias("other")), "fingerprint").where("other <= own")
-    return ranked.groupBy("fingerprint", "own").agg((F.count("*") - 1).alias("class"))
+            own = [canonical(t) for t in batch.text.array]
+            yield pd.DataFrame({"fingerprint": [digest(x, bits) for x in own], "own": own})
+
+    return docs.select("text").mapInPandas(rows, "fingerprint string, own binary")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The text operators against the public library or brute force, with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -85,26 +86,40 @@ def test_damaged_frame_is_noticed(spark, tmp_path):
 
 def test_counts_follow_edits(library):
     rng, counts = random.Random(9), token_counts._counts(bpe.vocabulary_path())
-    signs = ["word", " ", "  ", "\n", "don't", "12", "é", ".", " the", "\U0001f600"]
-    for _ in range(60):
-        text = "".join(rng.choice(signs) for _ in range(rng.randrange(300)))
-        tree = token_counts.CountTree(text, counts)
-        for _ in range(8):
+    signs = ["word", " ", "  ", "\n", "don't", "12", "é", ".", " the", "\U0001f600", "<|endoftext|>", "<|endof", "text|>", "<|", "|>"]
+    for k in range(120):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(400)))
+        tree = token_counts.CountTree.build(counts, text)
+        for _ in range(12):
             a = rng.randrange(len(text) + 3)
-            b, new = a + rng.randrange(12), "".join(rng.choice(signs) for _ in range(rng.randrange(4)))
+            b, new = a + rng.randrange(40 if k % 3 else 400), "".join(rng.choice(signs) for _ in range(rng.randrange(4 if k % 5 else 200)))
             tree.edit(a, b, new)
             text = text[:a] + new + text[max(b, a) :]
-            assert tree.text == text and tree.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+            assert tree.text == text and tree.n_chars == len(text)
+            assert tree.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+            assert max(len(c) for _, c, _ in tree.leaves) <= 2 * token_counts.LEAF
+            if rng.random() < 0.3:  # through a table row
+                tree = token_counts.CountTree(counts, *tree.kept())
+
+
+def test_an_edit_reads_little_of_a_long_text(library):
+    counts = token_counts._counts(bpe.vocabulary_path())
+    tree = token_counts.CountTree.build(counts, "some words of a long text. " * 20_000)
+    for k in range(50):
+        tree.edit(10_000 * k, 10_000 * k + 3, " put in <|endoftext|>")
+    assert tree.encoded_chars < 50 * 200
+    assert tree.n_tokens == len(library.encode(tree.text, add_special_tokens=False).ids)
 
 
 def test_edited_counts_of_odd_rows(spark, docs, library):
-    edits = F.array(F.struct(F.lit(2).alias("start"), F.lit(4).alias("stop"), F.lit(" new").alias("text")))
-    got = order((r.doc_id, r.n_tokens, r.n_tokens_edited) for r in token_counts.edited_counts(docs.withColumn("edits", edits)).collect())
+    edit = lambda a, b, t: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(t).alias("text")))
+    once = token_counts.edited(token_counts.count_trees(docs).withColumn("edits", edit(2, 4, " new")))
+    again = token_counts.edited(once.withColumn("edits", edit(0, 1, None)))
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    own = token_counts._counts(bpe.vocabulary_path())
-    want = [(i, token_counts.CountTree(t or "", own).n_tokens, token_counts.CountTree((t or "")[:2] + " new" + (t or "")[4:], own).n_tokens) for i, t in ROWS]
-    assert got == order(want)
-    assert all(a == n(t or "") for (_, a, _), (_, t) in zip(want, ROWS) if "<|" not in (t or ""))
+    first = lambda t: t[:2] + " new" + t[4:]
+    for got, text in ((once, first), (again, lambda t: first(t)[1:])):
+        assert order((r.doc_id, r.text, r.built_tokens, r.n_tokens) for r in got.collect()) == order((i, text(t or ""), n(t or ""), n(text(t or ""))) for i, t in ROWS)
+    assert token_counts.edited(token_counts.count_trees(empty(spark)).withColumn("edits", F.lit(None))).count() == 0
 
 
 def test_chats_come_back(spark):
@@ -135,8 +150,8 @@ def test_fingerprints_tell_canonical_texts_apart(spark, docs, bits):
         if i != 5:
             assert by[i]["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest() and by[i]["n_chars"] == len(t)
             assert by[i]["near_edited"] == float(fold(t) == fold(edited[i])) and by[i]["near_next"] == float(fold(t) == fold(following))
-    prints = {i: by[i]["fingerprint"] for i, _ in rows}
-    texts = dict(rows)
+    prints = {i: by[i]["fingerprint"] for i, _ in rows} | {("edited", i): by[i]["edited_fingerprint"] for i, _ in rows if i != 5}
+    texts = dict(rows) | {("edited", i): edited[i] for i in edited if i != 5}
     assert all((prints[a] == prints[b]) == (fold(texts[a]) == fold(texts[b])) for a in prints for b in prints)
     assert fingerprints.fingerprint(empty(spark), bits=bits).count() == 0
 
@@ -156,3 +171,48 @@ def test_licences_match_brute_force(spark, docs):
         assert order(tuple(r[c] for c in columns) for r in out) == order((r.doc_id, *brute(r.text)) for r in df.select("doc_id", "text").collect())
         assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in out)
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def licence_labels(texts):
+    """doc by doc: the labels and best score of every licence at every place, by the definition."""
+    cut = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) for t in texts]
+    weight = {w: math.log1p((1 + len(texts)) / (1 + sum(w in set(c) for c in cut))) for w in licenses.VOCABULARY}
+    out = []
+    for own in cut:
+        labels, best = set(), 0.0
+        at = lambda phrase: [i for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split()]  # noqa: B023, E731
+        base = {licenses.PHRASES[k] for k in licenses.PHRASES if at(k)}
+        for label, template, phrase in licenses.TEMPLATES:
+            t = template.split()
+            order = sorted(set(t), key=lambda w: (-weight[w], w))
+            total = sum(weight[w] for w in order[: licenses.RAREST])
+            sums = {}
+            for w in [w for w in order if w in own][: licenses.RAREST]:
+                for i, x in enumerate(own):
+                    for j in [j for j, y in enumerate(t) if x == y == w]:
+                        sums[i - j] = sums.get(i - j, 0) + weight[w] / t.count(w)
+            for start, got in sums.items():
+                if got >= licenses.LEAST_SCORE * total - 1e-9 and any(start - licenses.SLACK <= p <= start + len(t) + licenses.SLACK for p in at(phrase)):
+                    labels.add(label)
+                    best = max(best, min(1.0, got / total))
+        out.append((",".join(sorted(labels | base)), 1.0 if base else best))
+    return out
+
+
+def test_licence_labels_match_brute_force(spark):
+    rng = random.Random(15)
+    prose = lambda n: " ".join(rng.choice("the of software and to any copy house river without water notice year free use".split()) for _ in range(n))
+    texts = [prose(rng.randrange(80)) for _ in range(20)] + ["", "All rights reserved. " * 200, "under the MIT license. " * 300]
+    for _, text, _ in licenses.LICENCES:
+        w = text.split()
+        for share in (0, 10, 25, 50):  # whole licences, and ones with words replaced
+            for k in rng.sample(range(len(w)), len(w) * share // 100):
+                w[k] = rng.choice(["foo", "the", "software"])
+            texts.append(f"{prose(30)}\n{' '.join(w)}\n{prose(30)}")
+    texts += [f"{a[1]} {prose(5)} {b[1]}" for a, b in zip(licenses.LICENCES, licenses.LICENCES[1:])]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = licence_labels(texts)
+    assert [r["labels"] for r in out] == [label for label, _ in want]
+    assert all(abs(r["score"] - score) < 2e-6 for r, (_, score) in zip(out, want))
+    whole = [want[23 + 4 * k][0].split(",") for k in range(len(licenses.LICENCES))]
+    assert all(label in found for (label, _, _), found in zip(licenses.LICENCES, whole))
