@@ -6,7 +6,7 @@ is at least about the Jaccard similarity. ROWS registers make a band; sets that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, hashed_words, shingle_hashes, table
+from folioflow.llm.common import Scratch, as_rows, hashed_words, shingle_hashes, table, text_key
 
 WIDTH = 5
 PERCENT = 75
@@ -77,30 +77,25 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (64-bit digest of the set, null when empty), band keys and registers of each row."""
+    """doc_id, text_key, n_shingles, set_id (128-bit digest of the set, null when empty) and registers of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id.array, batch.text.array):
+            for text in batch.text.array:
                 s = shingle_set(text)
-                if not len(s):
-                    out.append((doc_id, 0, None, None, None))
-                    continue
-                r = registers(s)
-                keys = [xxhash.xxh3_64_intdigest(r[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i + 1) for i in range(BANDS)]
-                out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), np.array(keys, np.uint64).view(np.int64), r.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "keys", "regs"]).astype({"doc_id": "Int64"})
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
+            yield batch[["doc_id", "text_key"]].astype({"doc_id": "Int64"}).assign(**dict(zip(("n_shingles", "set_id", "regs"), zip(*out))) if out else {"n_shingles": 0, "set_id": None, "regs": None})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_id binary, keys array<long>, regs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_id binary, regs binary")
 
 
-def link_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def link_components(edges: DataFrame, scratch: Scratch, name: str = "comps", rounds: int = 40) -> DataFrame:
     """node, comp (its smallest reachable node) for the edges a - b, by alternating large and small stars.
 
-    A star's centre is found by a map-side aggregate; each round is cut by a checkpoint. Rounds grow with the
-    logarithm of the longest path."""
+    A star's centre is found by a map-side aggregate; each round is a table of its own, the one before is deleted. Rounds
+    grow with the logarithm of the longest path."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -112,94 +107,137 @@ def link_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return near.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.write(f"{name}-0", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sign(now)
-    if before[0] == 0:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    for _ in range(rounds):
-        now = cut(star(star(now, True), False))
+    for k in range(1, rounds + 1 if before[0] else 1):
+        now = scratch.write(f"{name}-{k}", star(star(now, True), False))
+        scratch.drop(f"{name}-{k - 1}")
         if (after := sign(now)) == before:
             break
         before = after
     else:
-        raise RuntimeError("components have not settled")
+        if before[0]:
+            raise RuntimeError("components have not settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b of set rows) that the estimate lets through and whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").where("least(na, nb) * 100 >= greatest(na, nb) * 75")
+def _with_heads(pairs: DataFrame, values: DataFrame, same: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], scratch: Scratch, name: str) -> DataFrame:
+    """node, head: the pairs (node, head) of which `same` says yes, given the values (node, ...) of both.
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Nodes meet a head in groups of about BLOCK; so its values are sent once a group, not once a pair, and a head of any
+    number of nodes is spread over tasks."""
+    large = scratch.write(f"{name}-large", pairs.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
+    groups = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    placed = pairs.join(large, "head", "left").select("node", "head", F.pmod(F.xxhash64("node"), groups).alias("block"))
+    others = placed.join(values, "node").withColumn("leads", F.lit(False))
+    heads = placed.select("head", "block").distinct().join(values.withColumnRenamed("node", "head"), "head").withColumn("node", F.col("head")).withColumn("leads", F.lit(True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for x in batches:
-            if len(x):
-                a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(len(x), -1) for c in ("ra", "rb"))
-                yield x.loc[likely_jaccard(a, b, x.na.to_numpy(float), x.nb.to_numpy(float)) >= LEAST, ["a", "b"]]
+            x = x if held is None else pd.concat([held, x], ignore_index=True)
+            at = np.maximum.accumulate(np.where(x.leads, np.arange(len(x)), 0))
+            own = np.flatnonzero(~x.leads.to_numpy(bool))
+            yield x.iloc[own[same(x.iloc[own], x.iloc[at[own]])]][["node", "head"]]
+            held = x.iloc[at[-1:]]
 
-    hopeful = sized.mapInPandas(likely, "a long, b long")
-    whole = hopeful.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    met = heads.unionByName(others).repartition("head", "block").sortWithinPartitions("head", "block", F.desc("leads"))
+    return scratch.write(name, met.mapInPandas(run, "node long, head long"))
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, held_set = None, None
-        for x in batches:
-            keep = []
-            for b, ta, tb in zip(x.b, x.ta, x.tb):
-                if b != held:
-                    held, held_set = b, shingle_set(tb)
-                keep.append(alike(shingle_set(ta), held_set))
-            yield x.loc[np.array(keep, bool), ["a", "b"]]
 
-    return whole.sortWithinPartitions("b").mapInPandas(similar, "a long, b long")
+def _likely(x: pd.DataFrame, heads: pd.DataFrame) -> np.ndarray:
+    if not len(x):
+        return np.zeros(0, bool)
+    a, b = (np.frombuffer(b"".join(r), np.uint8).reshape(len(x), -1) for r in (x.regs, heads.regs))
+    n, m = x.n.to_numpy(float), heads.n.to_numpy(float)
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (likely_jaccard(a, b, n, m) >= LEAST)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def _alike_texts(x: pd.DataFrame, heads: pd.DataFrame) -> np.ndarray:
+    held, own, out = None, None, []
+    for head, text, other in zip(heads["head"], x.text, heads.text):
+        if head != held:
+            held, own = head, shingle_set(other)
+        out.append(alike(shingle_set(text), own))
+    return np.array(out, bool)
 
-    Rows with equal shingle sets are one node (named by its smallest doc_id), so a group of copies of any size is one
-    node. Nodes that agree in a band share a bucket. First each member of a bucket is verified against its head; then,
-    in buckets that still hold several components, all pairs across components whose estimate is high enough. So a group of near
-    copies is linked by few pairs, no bucket is capped, and no pair across components of a bucket is left out. A pair
-    of similarity 0.75 agrees in no band with probability (1 - 0.75^5)^40 < 2e-5.
 
-    Rows without words (null or blank text) have n_shingles 0 and are their own component; rows without doc_id are linked
-    with nothing, have a null component and are kept; where rows repeat a doc_id, each goes with its own text; an empty table gives an empty result; extra columns are ignored."""
-    rows = cut(sketches(docs))
-    named = rows.where("set_id is not null and doc_id is not null")
-    sets = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs")))
-    spread = sets.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = spread.groupBy("band", "key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.col("band") % HEADS)).alias("head")).where("size > 1")
-    buckets = cut(spread.join(sizes, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("key"), "band", "size", "head"))
-    wanted = buckets.select("node").distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    texts = cut(_of_node(source, sets))
-    star = cut(buckets.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
-    links = cut(verified(star, sets, texts))
-    comps = link_components(links)
-    more = cut(_apart_in_buckets(buckets, comps, sets, texts))
-    if not more.isEmpty():
-        comps = link_components(links.unionByName(more))
-    whole = rows.join(sets.select("set_id", "node"), "set_id", "left").join(comps, "node", "left")
-    by_set = whole.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return by_set.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes."""
+    wanted = sets.join(nodes.distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), "text")
+    return own.join(wanted, ["_id", "_key"]).select("node", "text")
 
 
-def _of_node(source: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, text: the text that has the node's set, where rows repeat a doc_id."""
-    several = source.groupBy("node").count().where("count > 1").select("node")
-    if several.isEmpty():
-        return source
+def linked_sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n_shingles, set_id), and set_id, first_id, first_key: the smallest (doc_id, text_key) of the component of each set.
 
-    def with_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            ids = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in x.text]
-            yield x.assign(set_id=ids)
+    Rows with equal shingle sets are one node, so a group of copies of any size is one node. Nodes that agree in a band
+    share a bucket. First each member of a bucket is verified against its head; then, in buckets that still hold several
+    components, all pairs across components whose estimate is high enough. So a group of near copies is linked by few
+    pairs, no bucket is capped or divided. A pair of similarity 0.75 agrees in no band with probability (1 - 0.75^5)^40 < 2e-5."""
+    rows = scratch.write("rows", sketches(docs))
+    named = rows.where("set_id is not null and doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_key"))
+    sets = named.groupBy("set_id").agg(least.alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    sets = scratch.write("sets", sets.select("set_id", F.monotonically_increasing_id().alias("node"), "first.*", "n", "regs"))  # numbers hold once written
+    key = lambda i: F.xxhash64(F.lit(i), F.substring("regs", i * ROWS + 1, ROWS))
+    spread = sets.select("node", F.xxhash64("set_id").alias("draw"), F.posexplode(F.array(*map(key, range(BANDS)))).alias("band", "key"))
+    draw = F.xxhash64("draw", F.col("band") % HEADS)
+    sizes = spread.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", draw).alias("head")).where("size > 1")
+    buckets = scratch.write("buckets", spread.join(sizes, "key").select("node", "key", "band", "head"))
+    star = scratch.write("star", buckets.where("node <> head").select("node", "head").distinct())
+    hopeful = _with_heads(star, sets.select("node", "n", "regs"), _likely, scratch, "hopeful")
+    scratch.drop("star", "hopeful-large")
+    links = _with_heads(hopeful, _texts(docs, sets, hopeful.select("node").union(hopeful.select("head"))), _alike_texts, scratch, "links")
+    scratch.drop("hopeful", "links-large")
+    links = links.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    comps = link_components(links, scratch)
+    more = _apart_in_buckets(docs, buckets.select("node", "key", "band"), comps, sets, scratch)
+    scratch.drop("buckets")
+    if not more.isEmpty():
+        comps = link_components(links.unionByName(more), scratch, "again")
+    of_set = sets.select("set_id", "node", F.struct("doc_id", "text_key").alias("own")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    firsts = of_set.groupBy("comp").agg(F.min("own").alias("first"))
+    return rows.drop("regs"), of_set.join(firsts, "comp").select("set_id", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
 
-    return source.mapInPandas(with_set, "node long, text string, set_id binary").join(sets.select("node", "set_id"), ["node", "set_id"], "left_semi").dropDuplicates(["node", "set_id"]).select("node", "text")
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; see linked_sets for how links are found.
 
+    Rows without words (null or blank text) have n_shingles 0 and are their own component; rows without doc_id are linked
+    with nothing, have a null component and are kept; where rows repeat a doc_id, each goes with its own text's links; an empty
+    table gives an empty result; extra columns are ignored."""
+    return _told(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, but one of each group of near copies only: that of the smallest (doc_id, text hash).
+
+    Rows that are equal in doc_id and text are copies too: one stays. Rows without doc_id or without words are in no group and
+    stay. Null texts, empty tables and extra columns of any name are allowed."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    told = _told(docs).where("doc_id is not null and n_shingles > 0")
+    chosen = (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    counted = told.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.max(chosen).alias("chosen"), F.count("*").alias("n"))
+    decided = scratch.write("decided", counted.where("not chosen or n > 1"))
+    rows = as_rows(docs)
+    kept = rows.join(decided, ["i", "k"], "left_anti")
+    if not (repeated := decided.where("chosen")).isEmpty():
+        kept = kept.unionByName(rows.join(repeated, ["i", "k"], "left_semi").dropDuplicates(["i", "k"]))
+    return kept.select("row.*")
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    rows, of_set = linked_sets(docs, scratch)
+    with_set = rows.where("set_id is not null").join(of_set, "set_id", "left").drop("set_id")
+    none = F.lit(None).cast("long")
+    whole = with_set.unionByName(rows.where("set_id is null").drop("set_id").withColumns({"first_id": none, "first_key": none}))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id"))
+    told = scratch.write("told", whole.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "first_id", "first_key"))
+    scratch.drop("rows", "sets", "links", "more", *[f"{n}-{k}" for n in ("comps", "again") for k in range(41)])
+    return told
 def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of the buckets of over two nodes that hold several components: with comp, size, major (the bucket's largest
     component) and minor (how many nodes are in others)."""
@@ -209,20 +247,21 @@ def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return tagged.join(mixed, "key")
 
 
-def _apart_in_buckets(buckets: DataFrame, comps: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _apart_in_buckets(docs: DataFrame, buckets: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b (a > b): the links between a bucket's nodes that are in different components.
 
     Nodes outside a bucket's largest component are compared with all its nodes that agree in a band, in blocks of both: by sketch,
     then, where the estimate lets them through, by their whole sets. Buckets with the same largest component meet as
     one, so a node goes there once, not once a band; where that would take more than WORK comparisons, they stay apart, and a pair is
     verified in the first band it agrees in only. No bucket is divided: the block pairs of a large one are spread over tasks."""
-    rows = cut(_mixed(buckets.select("node", "key", "band", F.col("band").alias("first")), comps))
-    met = rows.select("major", "node", "comp").distinct()
-    sums = cut(met.groupBy("major").agg(F.count("*").alias("size"), F.sum((F.col("comp") != F.col("major")).cast("long")).alias("minor")))
-    dealt = _blocks(cut(met.join(sums.where(F.col("minor") * F.col("size") <= WORK), "major").withColumn("key", F.col("major")).withColumn("first", F.lit(-1))))
+    rows = scratch.write("mixed", _mixed(buckets.withColumn("first", F.col("band")), comps))
+    met = scratch.write("met", rows.select("major", "node", "comp").distinct())
+    sums = scratch.write("sums", met.groupBy("major").agg(F.count("*").alias("size"), F.sum((F.col("comp") != F.col("major")).cast("long")).alias("minor")))
+    dealt = _blocks(met.join(sums.where(F.col("minor") * F.col("size") <= WORK), "major").withColumn("key", F.col("major")).withColumn("first", F.lit(-1)))
     rows = rows.join(sums.where(F.col("minor") * F.col("size") > WORK).select("major"), "major", "left_semi")
-    dealt = dealt.unionByName(_blocks(cut(rows)))
-    full = dealt.join(sets.select("node", "n", "regs"), "node").join(texts, "node")
+    dealt = dealt.unionByName(_blocks(rows))
+    texts = scratch.write("texts", sets.select("node", "n", "regs").join(_texts(docs, sets, met.select("node")), "node"))
+    full = dealt.join(texts, "node")
 
     def pairs(group: list[tuple]) -> pd.DataFrame:
         node, comp, asks, first, n = (np.array([g[k] for g in group]) for k in range(5))
@@ -257,7 +296,10 @@ def _apart_in_buckets(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tex
         if len(group) > 1:
             yield pairs(group)
 
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
+    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
+    more = scratch.write("more", found)
+    scratch.drop("mixed", "met", "sums", "texts")
+    return more
 
 
 def _blocks(rows: DataFrame) -> DataFrame:

@@ -51,10 +51,10 @@ _FUNCTION = frozenset(FUNCTION_WORDS)
 
 
 def shape(word: str) -> str:
-    """The word with runs of capitals, small letters and digits as one sign each, cut at twelve signs."""
+    """The word with runs of capitals, small letters and digits as one sign each."""
     for pattern, sign in _SHAPE:
         word = pattern.sub(sign, word)
-    return word[:12]
+    return word
 
 
 class _Known(dict):
@@ -181,6 +181,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "key": b.key, "pattern": found})
 
     rows = _rows(docs)
+    spark = docs.sparkSession
     voted = cut(rows.mapInPandas(vote, "doc_id long, key long, pattern int"))
     found = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
     codes = np.array([r["pattern"] for r in found], np.int64)
@@ -188,8 +189,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     good = dict(zip(codes.tolist(), expectation_maximisation(table_, np.array([r["count"] for r in found], float)).tolist())) if len(codes) else {}
     if not good:
         return train([]), voted.select("doc_id", "key", "pattern", F.lit(1.0).alias("posterior"))
-    posterior = F.element_at(F.create_map(*[F.lit(x) for kv in good.items() for x in kv]), F.col("pattern"))
-    voted = voted.withColumn("posterior", posterior)
+    known = spark.createDataFrame(list(good.items()), "pattern int, posterior double")
+    voted = voted.join(F.broadcast(known), "pattern")  # at most 3 ** labellers rows
     order = [F.xxhash64("doc_id", "key"), "doc_id", "key"]
     half = [voted.where(c).orderBy(*order).limit(TRAIN_ROWS // 2) for c in ("posterior >= 0.5", "posterior < 0.5")]
     chosen = half[0].unionByName(half[1]).select("doc_id", "key", "posterior").distinct()
@@ -220,27 +221,29 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def scores(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """score (P(good)) and keep for every row of docs, after its columns named in `carry` (doc_id if none are named)."""
-    carry = carry or ["doc_id"]
-    source = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col("text"), F.lit("")).alias("_scored"))
-
+def _scorer(model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Known(model.word)
         for texts in batches:
             yield pd.Series([model.score(t.split(), known) for t in texts], dtype="float64")
 
-    return source.withColumn("score", score("_scored")).withColumn("keep", F.col("score") >= 0.5).drop("_scored")
+    return score(F.coalesce(F.col("text"), F.lit("")))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that the scorer finds good."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), _scorer(model).alias("score")).where("score >= 0.5").select("row.*")
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, score, keep for every row of docs.
+    """doc_id, score (P(good)), keep for every row of docs.
 
     A null or blank text has score near 0 and isn't kept; rows without doc_id are scored like others; repeated rows get the
     same score; an empty table gives an empty result; extra columns are ignored; whole texts are read, of any length."""
     model, _ = fit(docs)
-    return scores(docs, model)
+    return docs.select("doc_id", _scorer(model).alias("score")).withColumn("keep", F.col("score") >= 0.5)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

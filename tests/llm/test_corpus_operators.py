@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import decontaminate, line_dedup, near_dedup, quality
+from folioflow.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
-CLASHES = ("node", "key", "band", "size", "head", "kept", "_id", "_key", "_chunks", "n_removed")
+CLASHES = "node key band size head kept _id _key _chunks n_removed N_CHUNKS _lines _h _g _w _at _big _starts _wrong _gone _dup _seeds row i k chosen n score keep text_key regs set_id first_id own".split()
 
 
 def words(rng, n):
@@ -80,7 +81,7 @@ def test_components_of_a_path(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
     edges = spark.createDataFrame(list(zip(order, order[1:])) + [(100, 101), (102, 101)], "a long, b long")
-    got = {r["node"]: r["comp"] for r in near_dedup.link_components(edges).collect()}
+    got = {r["node"]: r["comp"] for r in near_dedup.link_components(edges, Scratch(spark, "test")).collect()}
     assert got == {i: 0 for i in range(1, 60)} | {101: 100, 102: 100}
 
 
@@ -98,21 +99,24 @@ def test_repeated_passages_stay_once(spark):
     passage, block = " ".join(words(rng, 60)), "\n".join(" ".join(words(rng, 6)) for _ in range(12))
     own = {i: [" ".join(words(rng, 9)) for _ in range(6)] for i in range(12)}
     rows = [(i, "\n".join([*own[i][:3], passage if i % 2 else block, *own[i][3:]])) for i in own] + [(20, None), (21, ""), (None, passage), (30, "short\nlines"), (31, "short\nlines")]
-    out = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    out = line_dedup.without_repeats(frame(spark, rows)).collect()
     texts = {r["doc_id"]: r["text"] for r in out}
     assert len(out) == len(rows) and texts[20] is None and texts[21] == "" and texts[30] == texts[31] == "short\nlines"
     assert sum(passage in (t or "") for t in texts.values()) == 1
     left = [sum(line in (t or "") for t in texts.values()) for line in block.split("\n")]
-    assert min(left) == 1 and left.count(1) >= 6  # lines alone in their chunk stay, and those at the block's ends can be in a chunk with others
+    assert set(left) == {1}
+    assert out[0].asDict().keys() == {"doc_id", "text", *CLASHES} and all(r[c] == "x" for r in out for c in CLASHES)
     for i in own:
         assert all(line in texts[i] for line in own[i])
-    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    assert line_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
 def test_chunks_joined_are_the_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    whole = line_dedup._chunk_array(docs).withColumn("again", F.array_join("_chunks", "\n"))
-    assert whole.where("not (again <=> coalesce(text, ''))").count() == 0
+    for r in line_dedup.with_chunks(docs).collect():
+        starts = [s - 1 for s in r["_starts"]] + [len(r["_lines"])]
+        assert starts == sorted(set(starts)) and starts[0] == 0
+        assert "\n".join("\n".join(r["_lines"][a:b]) for a, b in zip(starts, starts[1:])) == (r["text"] or "")
 
 
 def test_leaks_are_found_and_clean_texts_left(spark):
@@ -172,3 +176,28 @@ def test_pipeline_stages_hand_on_documents(spark):
     assert len(kept) == len(set(kept)) and set(kept) < ids and len(kept) > len(ids) / 2
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids, repeated ids and rows, null and empty texts, columns of the library's own names, and an empty table."""
+    rng = random.Random(12)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    prose = lambda n: " ".join(rng.choice("the of and to in is that for it was on are with as this from house water river small people time year work".split()) for _ in range(n))
+    body = [prose(60) for _ in range(6)]
+    rows = [(1, body[0]), (2, body[0]), (2, body[1]), (3, body[2]), (3, body[2]), (3, body[2]), (None, body[3]), (None, body[3]), (None, f"{body[4]} {item}"), (5, f"{body[4]} {item}"), (5, body[5]), (6, None), (7, "")]
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    steps = dict(corpus_pipeline.STAGES)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] or 0, r[1] or ""))
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] or 0, r[1] or ""))
+    assert told(steps["near_dedup"](spark, docs, SF)) == order([(1, body[0]), (2, body[1]), (3, body[2]), (None, body[3]), (None, body[3]), rows[8], rows[9], (5, body[5]), (6, None), (7, "")])
+    assert told(steps["decontamination"](spark, docs, SF)) == order([r for r in rows if item not in (r[1] or "")])
+    lines = told(steps["line_dedup"](spark, docs, SF))
+    assert len(lines) == len(rows) and [t for i, t in lines if i == 6] == [None]
+    kept = told(steps["quality_classifier"](spark, docs, SF))
+    assert not any(i in (6, 7) for i, _ in kept) and set(kept) <= {(i, t) for i, t in rows}
+    encoded = steps["bpe_encoding"](spark, docs, SF).collect()
+    assert len(encoded) == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name

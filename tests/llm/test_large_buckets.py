@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioflow.llm import near_dedup
+from folioflow.llm.common import Scratch
 
 
 def test_pairs_of_large_buckets_are_whole(spark, monkeypatch):
@@ -19,11 +20,12 @@ def test_pairs_of_large_buckets_are_whole(spark, monkeypatch):
             for k in rng.sample(range(100), 2):
                 own[k] = f"new{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(own)))
-    docs = spark.createDataFrame(rows, "node long, text string")
-    sets = near_dedup.sketches(docs.withColumnRenamed("node", "doc_id")).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "regs").localCheckpoint()
-    buckets = sets.select("node", F.posexplode("keys").alias("band", "other")).select("node", "band", F.xxhash64("band", "other").alias("key"))
-    got = {(r["a"], r["b"]) for r in near_dedup._apart_in_buckets(buckets, spark.createDataFrame([], "node long, comp long"), sets, docs).collect()}
-    keys = {r["node"]: r["keys"] for r in sets.collect()}
+    docs, scratch = spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")
+    sets = scratch.write("sets", near_dedup.sketches(docs).select("doc_id", "text_key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "regs"))
+    keys = {r["node"]: [bytes(r["regs"][k : k + near_dedup.ROWS]) for k in range(0, len(r["regs"]), near_dedup.ROWS)] for r in sets.collect()}
+    met = [(n, b, hash((b, k)) & (1 << 62) - 1) for n, own in keys.items() for b, k in enumerate(own)]
+    buckets = spark.createDataFrame(met, "node long, band int, key long")
+    got = {(r["a"], r["b"]) for r in near_dedup._apart_in_buckets(docs, buckets, spark.createDataFrame([], "node long, comp long"), sets, scratch).collect()}
     size = {}
     for own in keys.values():
         for k in enumerate(own):

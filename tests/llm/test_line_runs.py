@@ -21,7 +21,7 @@ def test_a_wrapped_passage_goes_whole_from_all_documents_but_one(spark, lines, n
             i = 3 * family + copy
             own[i] = [words(rng, rng.randrange(1, 12)) for _ in range(6)]
             rows.append((i, "\n".join([*own[i][:3], *passage, *own[i][3:]])))
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         assert texts[i] == (text if i % 3 == 0 else "\n".join(own[i]))
 
@@ -47,6 +47,6 @@ def test_runs_match_brute_force(spark):
     rng = random.Random(21)
     pool = [words(rng, n) for n in (1, 1, 1, 2, 2, 3, 4, 5, 6, 9, 12, 29, 30, 45)] + [""]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", "text", "n_chunks", "n_removed").collect()}
     assert [got[i]["text"] for i in range(60)] == removed(texts)
     assert all((r["n_removed"] > 0) == (r["text"] != texts[i]) and r["n_removed"] <= r["n_chunks"] for i, r in got.items())
