@@ -25,8 +25,20 @@ def straighten(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """[ST3] Without tags, named entities decoded (the ampersand last, so nothing is decoded twice)."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), F.regexp_replace(text, "<[^>]*>", ""))
+    """[ST3] Without tags, named entities decoded, the ampersand last, then numeric references (decimal and hexadecimal)."""
+    named = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), F.regexp_replace(text, "<[^>]*>", ""))
+    return F.when(named.rlike(NUMERIC), _numeric(named)).otherwise(named)
+
+
+NUMERIC = "&#(?:[0-9]+|[xX][0-9a-fA-F]+);"
+
+
+def _numeric(text: Column) -> Column:
+    """Each numeric reference as its character: the text is cut at the references, and each one's code point is put between."""
+    marks = F.regexp_extract_all(text, F.lit(f"({NUMERIC})"), F.lit(1))
+    code = lambda m: F.when(m.rlike("^&#[xX]"), F.conv(F.substr(m, F.lit(4), F.length(m) - 4), 16, 10)).otherwise(F.substr(m, F.lit(3), F.length(m) - 3)).cast("int")
+    sign = lambda m: F.decode(F.unhex(F.lpad(F.hex(code(m)), 8, "0")), "UTF-32")
+    return F.array_join(F.flatten(F.zip_with(F.split(text, NUMERIC, -1), marks, lambda t, m: F.array(t, F.coalesce(sign(m), F.lit(""))))), "")
 
 
 def escape_markup(text: Column) -> Column:
@@ -106,10 +118,46 @@ def join_lines(lines: Column) -> Column:
 
 
 def version_key(text: Column) -> Column:
-    """[ST33] Numeric parts of a version, for comparing as arrays; null where a part isn't a number."""
-    return F.when(text.rlike(r"^\d+(\.\d+)*$"), F.transform(F.split(text, r"\."), lambda p: p.cast("int")))
+    """[ST33] The numbers that a version begins with, for comparing as arrays; null where it begins with none."""
+    head = F.regexp_extract(F.trim(text), r"^(\d+(?:\.\d+)*)", 1)
+    return F.when(head != "", F.transform(F.split(head, r"\."), lambda p: p.cast("long")))
+
+
+def is_newer(candidate: Column, current: Column) -> Column:
+    """[ST33] A later version; texts without numbers are newer if they differ."""
+    a, b = version_key(candidate), version_key(current)
+    return F.when(a.isNotNull() & b.isNotNull(), a > b).otherwise(F.trim(candidate) != F.trim(current))
 
 
 def redact(text: Column, secrets: list[str]) -> Column:
     """[ST32]"""
-    return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("***")), [s for s in secrets if s], text)
+    longest_first = sorted(filter(None, secrets), key=len, reverse=True)
+    return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("***")), longest_first, text)
+
+
+#: Hosts of videos, the path kinds that an id follows, and the form of an id [ST19].
+VIDEO_HOSTS = r"^(?:[^/]*\.)?(?:youtube\.com|youtu\.be|youtube-nocookie\.com)$"
+VIDEO_PATHS = "embed|live|shorts|v"
+VIDEO_ID = "^[A-Za-z0-9_-]{11}$"
+
+
+def video_id(url: Column) -> Column:
+    """[ST19] The id in a video's address: host from the list, then v=, the short host's path or a path kind; else null."""
+    whole = F.when(url.contains("//"), F.trim(url)).otherwise(F.concat(F.lit("https://"), F.trim(url)))
+    part = lambda pattern: F.regexp_extract(whole, pattern, 1)
+    host = F.lower(part(r"^[a-zA-Z]+://(?:[^/@?#]*@)?([^/:?#]+)"))
+    path = part(r"^[a-zA-Z]+://[^/?#]+/([^?#]*)")
+    asked = part(r"[?&]v=([^&#]*)")
+    by_kind = F.regexp_extract(path, rf"^/*(?i:{VIDEO_PATHS})/+([^/]+)", 1)
+    found = F.when(host.rlike(r"(?:^|\.)youtu\.be$"), F.regexp_extract(path, "^/*([^/]*)", 1)).when(asked != "", asked).otherwise(by_kind)
+    return F.when(host.rlike(VIDEO_HOSTS) & found.rlike(VIDEO_ID), found)
+
+
+def channel_of(origin: Column) -> Column:
+    """[ST20] struct<kind, value>: which form names a channel (id, handle, user or url)."""
+    path = F.coalesce(F.nullif(F.regexp_extract(origin, r"^(?:https?://)?(?:[\w-]+\.)*youtube\.com/([^?#]*)", 1), F.lit("")), F.trim(origin))
+    cid = F.regexp_extract(path, r"(?:^|channel/)(UC[A-Za-z0-9_-]{22})(?:/|$)", 1)
+    handle = F.regexp_extract(path, r"^@([A-Za-z0-9._-]+)", 1)
+    user = F.regexp_extract(path, r"^user/([^/]+)", 1)
+    form = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    return F.when(cid != "", form("id", cid)).when(handle != "", form("handle", handle)).when(user != "", form("user", user)).otherwise(form("url", F.trim(origin)))

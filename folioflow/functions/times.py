@@ -75,9 +75,32 @@ def transcription_timeout(seconds: Column) -> Column:
 
 
 def spoken_duration(seconds: Column) -> Column:
-    """[DT17] 4h 43m; minutes alone under an hour."""
-    h, m = F.floor(seconds / 3600), F.floor(seconds / 60) % 60
-    return F.when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm", m))
+    """[DT17] 4h 43m, 4h or 43m; of seconds rounded half to even, none below nought."""
+    total = F.greatest(F.lit(0), F.bround(seconds, 0)).cast("long")
+    h, m = F.floor(total / 3600), F.floor(total / 60) % 60
+    return F.when((h > 0) & (m > 0), F.format_string("%dh %dm", h, m)).when(h > 0, F.format_string("%dh", h)).otherwise(F.format_string("%dm", m))
+
+
+def refusal(seconds: Column, size: Column, most_seconds: int, most_size: int) -> Column:
+    """[FLT13] Which limit a capture breaks: length, else size, else null. An unknown length breaks none."""
+    return F.when(seconds > most_seconds, "length").when(size > most_size, "size")
+
+
+#: Words of the two status sources and the readiness they mean [FLT12].
+BROADCAST = {"live": "live", "upcoming": "upcoming"}
+LIVE_STATUS = {"is_upcoming": "upcoming", "is_live": "live", "was_live": "finished", "not_live": "finished"}
+
+
+def readiness(broadcast: Column, seconds: Column, status: Column) -> Column:
+    """[FLT12] upcoming, live, finished or unknown: the broadcast word decides (none needs a length), else the live status."""
+    first = F.create_map(*[F.lit(x) for kv in BROADCAST.items() for x in kv])[broadcast]
+    first = F.when(broadcast == "none", F.when(seconds > 0, "finished")).otherwise(first)
+    return F.coalesce(first, F.create_map(*[F.lit(x) for kv in LIVE_STATUS.items() for x in kv])[status], F.lit("unknown"))
+
+
+def state_word(provisional: Column, churn: Column) -> Column:
+    """[FLT11]"""
+    return F.when(provisional, "provisional").when(churn, "settled under churn").otherwise("settled")
 
 
 def title_day(title: Column) -> Column:
