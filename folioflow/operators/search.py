@@ -54,16 +54,18 @@ def _is(term: str):
     return lambda w: w == term
 
 
-def bm25(docs: DataFrame, key: list[str], terms: list[str], top: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: list[str], terms: list[str], top: int | None = None, where: Column | None = None) -> DataFrame:
     """[FT7, SL1] key, score (lower is better) of the rows of docs (key, text) that hold every term.
 
-    Corpus size, mean length and the terms' document frequencies come from one aggregate over the rows. A repeated
-    term counts again. With `top`, only the best rows go on, by (score, key), before anything is joined to them."""
-    tokens = docs.select(*key, search_terms(F.col("text")).alias("_t"))
+    Corpus size, mean length and the terms' document frequencies come from one aggregate over all rows. A repeated
+    term counts again. `where` then leaves rows out, and with `top`, only the best rows go on, by (score, key), before
+    anything is joined to them."""
+    docs = docs.withColumn("_in", F.lit(True) if where is None else where)
+    tokens = docs.select(*key, "_in", search_terms(F.col("text")).alias("_t"))
     counts = {t: F.size(F.filter("_t", _is(t))) for t in dict.fromkeys(terms)}
-    counted = tokens.select(*key, F.size("_t").alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(counts.values())])
+    counted = tokens.select(*key, "_in", F.size("_t").alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(counts.values())])
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(counts))])
-    hit = counted.where(F.expr(" AND ".join(f"_c{i} > 0" for i in range(len(counts))) or "false")).crossJoin(F.broadcast(stats))  # one row
+    hit = counted.where("_in").where(F.expr(" AND ".join(f"_c{i} > 0" for i in range(len(counts))) or "false")).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i, t in enumerate(counts):
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)))
@@ -117,3 +119,26 @@ def snippet(text: Column, terms: list[str], size: int = 12) -> Column:
     start = F.greatest(F.lit(1), F.least(F.coalesce(first, F.lit(1)) - size // 2 - 1, n - size + 1)).cast("int")
     body = F.array_join(F.slice(words, start, F.lit(size)), " ")
     return F.concat(F.when(start > 1, " ... ").otherwise(""), body, F.when(start + size <= n, " ... ").otherwise(""))
+
+
+def citation(origin: str, id_: Column, text: Column, terms: list[str]) -> Column:
+    """[FT12] What a hit is cited by: origin, id, sha256 of the text, and an excerpt."""
+    return F.struct(F.lit(origin).alias("origin"), id_.alias("id"), F.sha2(text, 256).alias("sha256"), snippet(text, terms).alias("excerpt"))
+
+
+def unified(lines: DataFrame, pages: DataFrame, q: str, top: int, lines_in: Column | None = None, pages_in: Column | None = None, pages_only: bool = False) -> DataFrame:
+    """[FT9, FT11, SL8] origin, place_of_kind, place, id, score, citation: the best lines, then the best pages (id, ..., text).
+
+    Each kind is ranked over its own corpus and cut to `top` before texts are joined; pages_only leaves lines out."""
+    terms = query_terms(q)
+    found = []
+    for k, (origin, rows, where) in enumerate((("line", lines, lines_in), ("page", pages, pages_in))):
+        if (pages_only and origin == "line") or not terms:
+            continue
+        best = bm25(rows, ["id"], terms, top, where)
+        placed = best.withColumn("place", F.row_number().over(Window.orderBy("score", "id")))  # at most `top` rows
+        hits = rows.select("id", "text").join(F.broadcast(placed), "id")
+        found.append(hits.select(F.lit(origin).alias("origin"), F.lit(k).alias("place_of_kind"), "place", "id", "score", citation(origin, F.col("id"), F.col("text"), terms).alias("citation")))
+    if not found:
+        return unified(lines, pages, "none", 0, lines_in, pages_in, pages_only)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])

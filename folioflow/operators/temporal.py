@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_ends(items: DataFrame, key: str, start: str, last_end: Column) -> DataFrame:
-    """[WN11] end: the next item's start; the last one's is last_end, never before its own start."""
-    order = Window.partitionBy(key).orderBy(start)
+def with_ends(items: DataFrame, key: str, start: str, last_end: Column, then: Sequence[str] = ()) -> DataFrame:
+    """[WN11] end: the next item's start; the last one's is last_end, never before its own start. `then` orders equal starts."""
+    order = Window.partitionBy(key).orderBy(start, *then)
     return items.withColumn("end", F.coalesce(F.lead(start).over(order), F.greatest(last_end, F.col(start))))
 
 
 def latest_range(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, id_: str) -> DataFrame:
     """[JN5, CX2] points with the id of the half-open range that holds them; of several the one that starts last, then the
     smallest id. Points and range starts are sorted together in each key: as many rows as both tables have, where a theta
-    join would make one for each pair. Only points at which the range that started last has ended already (nested
-    ranges) are joined with their key's ranges by the bounds."""
+    join would make one for each pair. Only points at which the range that started last has ended, but an earlier one hasn't
+    (nested ranges), are joined with their key's ranges by the bounds. Equal points each give a row."""
     tagged = points.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_p"), F.struct(*points.columns).alias("_row"), F.lit(None).cast("struct<start:bigint,end:bigint,id:bigint>").alias("_r"))
     opened = F.struct(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(id_).cast("long").alias("id"))
-    starts = ranges.select(F.col(key).alias("_k"), F.col(start).alias("_t"), F.lit(0).alias("_p"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), opened.alias("_r"))
-    order = Window.partitionBy("_k").orderBy("_t", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last("_r", ignorenulls=True).over(order)
-    seen = tagged.unionByName(starts).withColumn("_last", latest)
-    nested = seen.withColumn("_open", F.when((F.col("_p") == 1) & ((F.col("_t") >= F.col("_last.end")) | F.col("_last").isNull()), F.lit(True)))
-    flat = nested.where("_p = 1").select("_k", "_t", "_row", F.when(F.col("_open").isNull(), F.col("_last.id")).alias("_id"), "_open")
-    sure = flat.where("_open is null").select("_row.*", F.col("_id").alias("range_id"))
-    unsure = flat.where("_open").select("_k", "_t", "_row")
-    later = unsure.alias("u").join(ranges.alias("r"), (F.col("u._k") == F.col(f"r.{key}")) & (F.col("u._t") >= F.col(f"r.{start}")) & (F.col("u._t") < F.col(f"r.{end}")), "left")
-    best = later.groupBy("u._row").agg(F.min_by(F.col(f"r.{id_}"), F.struct(-F.col(f"r.{start}"), F.col(f"r.{id_}"))).alias("range_id"))
-    return sure.unionByName(best.select("_row.*", "range_id"))
+    starts = ranges.where(F.col(end) > F.col(start)).select(F.col(key).alias("_k"), F.col(start).alias("_t"), F.lit(0).alias("_p"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), opened.alias("_r"))
+    order = Window.partitionBy("_k").orderBy("_t", "_p", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = tagged.unionByName(starts).withColumns({"_last": F.last("_r", ignorenulls=True).over(order), "_until": F.max("_r.end").over(order)}).where("_p = 1")
+    sure = (F.col("_t") < F.col("_last.end")) | F.coalesce(F.col("_t") >= F.col("_until"), F.lit(True))
+    flat = seen.select("_k", "_t", "_row", F.when(F.col("_t") < F.col("_last.end"), F.col("_last.id")).alias("range_id"), F.coalesce(sure, F.lit(True)).alias("_sure"))
+    nested = flat.where("not _sure").groupBy("_k", "_t", "_row").agg(F.count("*").alias("_n"))
+    later = nested.alias("u").join(ranges.alias("r"), (F.col("u._k") == F.col(f"r.{key}")) & (F.col("u._t") >= F.col(f"r.{start}")) & (F.col("u._t") < F.col(f"r.{end}")), "left")
+    best = later.groupBy("u._row", "u._n").agg(F.min_by(F.col(f"r.{id_}"), F.struct(-F.col(f"r.{start}"), F.col(f"r.{id_}"))).alias("range_id"))
+    each = best.select("_row", "range_id", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_i"))
+    return flat.where("_sure").select("_row.*", "range_id").unionByName(each.select("_row.*", "range_id"))
 
 
 def held_on(seats: DataFrame, on: Column) -> Column:
@@ -69,13 +69,21 @@ def last_in_order(candidates: DataFrame) -> DataFrame:
 
 
 def _chain(rows: list[dict]) -> list[dict]:
+    """By a tree of prefix maxima over the ranks of times, item by item: n log n steps."""
+    rank = {t: k + 1 for k, t in enumerate(sorted({x["time"] for x in rows}))}
+    tree: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(rank) + 1)  # length, minus the sum, minus the row's number
     best: list[tuple[int, int, int]] = []  # length, minus the sum, the row before
-    for i, x in enumerate(rows):
-        own = (1, -x["time"], -1)
-        for j in range(i):
-            if rows[j]["item"] < x["item"] and rows[j]["time"] <= x["time"] and (best[j][0] + 1, best[j][1] - x["time"]) > own[:2]:
-                own = (best[j][0] + 1, best[j][1] - x["time"], j)
-        best.append(own)
+    for _, group in itertools.groupby(range(len(rows)), key=lambda i: rows[i]["item"]):
+        own = list(group)
+        for i in own:
+            k, top = rank[rows[i]["time"]], (0, 0, 0)
+            while k:
+                top, k = max(top, tree[k]), k & (k - 1)
+            best.append((top[0] + 1, top[1] - rows[i]["time"], -top[2] if top[0] else -1))
+        for i in own:
+            k, mark = rank[rows[i]["time"]], (best[i][0], best[i][1], -i)
+            while k < len(tree):
+                tree[k], k = max(tree[k], mark), k + (k & -k)
     at = max(range(len(best)), key=lambda i: best[i][:2], default=-1)
     kept = []
     while at >= 0:
@@ -88,12 +96,13 @@ def agreed_offset(values: DataFrame, key: str, value: str, tolerance: float, lea
     """[AG11] key, offset, support: the half-even rounded median of the values within `tolerance` of the best centre.
 
     The best centre has the most values near it, then is the smallest; fewer than `least` give no offset. A running count over
-    the sorted values takes the place of a self join."""
+    the sorted values takes the place of a self join; only the values near the winner are looked at again."""
     reach = round(tolerance * 1000)  # frames need whole numbers: thousandths
-    near = Window.partitionBy(key).orderBy(F.round(F.col(value) * 1000).cast("long")).rangeBetween(-reach, reach)
-    counted = values.withColumn("_n", F.count("*").over(near)).withColumn("_set", F.collect_list(F.col(value).cast("double")).over(near))
-    best = counted.groupBy(key).agg(F.max_by(F.struct("_n", "_set"), F.struct("_n", -F.col(value))).alias("b"))
-    ordered = F.array_sort(F.col("b._set"))
-    n = F.size(ordered)
-    middle = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
-    return best.select(key, F.when(F.col("b._n") >= least, F.bround(middle, 0).cast("long")).alias("offset"), F.col("b._n").alias("support"))
+    at = F.round(F.col(value) * 1000).cast("long")
+    near = Window.partitionBy(key).orderBy("_at").rangeBetween(-reach, reach)
+    placed = values.select(key, F.col(value).cast("double").alias("_v"), at.alias("_at"))
+    counted = placed.withColumn("_n", F.count("*").over(near))
+    best = counted.groupBy(key).agg(F.max_by("_at", F.struct("_n", -F.col("_at"))).alias("_centre"), F.max("_n").alias("support"))
+    close = placed.join(best, key).where(F.abs(F.col("_at") - F.col("_centre")) <= reach)
+    middle = close.groupBy(key, "support").agg(F.percentile("_v", 0.5).alias("_m"))
+    return middle.select(key, F.when(F.col("support") >= least, F.bround("_m", 0).cast("long")).alias("offset"), "support")

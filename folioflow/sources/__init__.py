@@ -1,0 +1 @@
+"""Readers that turn caption files, listings and agendas into tables."""
