@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import references, text
-from folioflow.operators import alignment, search
+from folioflow.operators import alignment, grounding, minutes, search, speakers
 from folioflow.plans.common import Registry, read
 from folioflow.sources import agendas, captions, listings, tables
 
@@ -132,3 +132,66 @@ def unified_search(spark: SparkSession, d: str) -> DataFrame:
     best = hits.orderBy("place_of_kind", "place").limit(30)
     position = F.row_number().over(Window.orderBy("place_of_kind", "place"))  # of the 30 rows
     return best.select(position.cast("long").alias("position"), "origin", "id", "citation.sha256")
+
+
+@R.add("""WITH o AS (SELECT o_orderkey, o_custkey, 1 + o_custkey % 7 AS y, o_orderkey % 3 AS n, o_orderkey % 4 AS form FROM orders)
+SELECT o_orderkey AS meeting_id, CAST(1 AS INT) AS ordinal, 'Member ' || (o_custkey % 50) AS mover, CASE form WHEN 0 THEN 'passed' WHEN 1 THEN 'tabled' WHEN 2 THEN 'failed' ELSE 'withdrawn' END AS result,
+CASE form WHEN 1 THEN 'to table item ' ELSE 'to approve O-2026-' END || (10 + o_custkey % 90) AS text, CASE WHEN form < 3 THEN CAST(y AS INT) END AS yes, CASE WHEN form < 3 THEN CAST(n AS INT) END AS no FROM o""")
+def printed_motions(spark: SparkSession, d: str) -> DataFrame:
+    """[ST22, AG14] Each order as a page of minutes with one motion, its number broken over two lines."""
+    c, form = F.col("o_custkey"), F.col("o_orderkey") % 4
+    number = 10 + c % 90
+    said = F.when(form == 1, F.concat(F.lit("to table\nitem "), number)).otherwise(F.concat(F.lit("to approve O-\n2026-"), number))
+    count = F.concat(1 + c % 7, F.lit(" – "), F.col("o_orderkey") % 3)
+    outcome = F.when(form == 2, F.concat(F.lit("Failed: "), count)).when(form == 3, "MOTION WITHDRAWN").otherwise(F.concat(F.lit("Carried: "), count))
+    page = F.concat(F.lit("MOTION\nMember "), c % 50, F.lit(" moved, seconded by Lee, "), said, F.lit("\nApproved:\nA, B\nand C\nDissented:\nNone\n"), outcome, F.lit("\nPage 3"))
+    pages = read(spark, d, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.lit(1).alias("page"), F.posexplode(F.split(page, "\n")).alias("line_no", "text"))
+    return minutes.motions(pages).select("meeting_id", "ordinal", "mover", "result", "text", "yes", "no")
+
+
+@R.add("""WITH m AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, o_custkey, o_orderkey % 3 AS form FROM orders),
+d AS (SELECT o_custkey, max(ordinal) AS ordinal FROM m WHERE form < 2 GROUP BY o_custkey)
+SELECT d.o_custkey AS meeting_id, CAST(d.ordinal AS INT) AS ordinal, CASE form WHEN 0 THEN 'passed' ELSE 'failed' END AS result FROM d JOIN m ON m.o_custkey = d.o_custkey AND m.ordinal = d.ordinal""")
+def votes_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """[CX5, WN15, JN18] A customer's orders as motions on one ordinance: the last decided one is the item's vote."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    form = F.col("o_orderkey") % 3
+    read_ = read(spark, d, "orders").select(F.col("o_custkey").alias("meeting_id"), place.alias("ordinal"), F.concat(F.lit("to approve ordinance 2026-54 as in "), F.col("o_orderkey")).alias("text"), F.when(form == 0, "passed").when(form == 1, "failed").otherwise("withdrawn").alias("result"), F.lit(None).cast("int").alias("yes"), F.lit(None).cast("int").alias("no"))
+    items = read_.select("meeting_id", F.lit(0).alias("item_no"), F.lit("9.A").alias("number"), F.lit("O-2026-54, parking").alias("title")).distinct()
+    return minutes.item_votes(read_, items).select("meeting_id", "ordinal", "result")
+
+
+@R.add("""SELECT conv_id AS meeting_id, count(*) FILTER (turn > lo AND NOT (role = 'system')) AS handed FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS lo, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL AND before <> 'system' GROUP BY conv_id HAVING count(*) FILTER (turn > lo AND NOT (role = 'system')) > 0""")
+def speaker_labels(spark: SparkSession, d: str) -> DataFrame:
+    """[CX3, ST25, WN5, WN6] Turns as runs; each turn but the system's hands the floor on to its mayor: labels of each conversation's runs."""
+    c = read(spark, d, "conversations")
+    call = F.when(F.col("role") == "system", ">> quiet").otherwise(">> go on. Mayor")
+    lines = c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("line_id"), (F.col("turn") * 1000).alias("start_ms"), call.alias("text"))
+    officials = c.select(F.col("conv_id").alias("meeting_id"), F.lit(1).alias("person_id"), F.lit("Ann Smith").alias("name")).distinct()
+    holders = officials.select("meeting_id", F.lit("mayor").alias("kind"), "person_id")
+    labels = speakers.label_runs(lines, officials, holders).where("method = 'seat'")
+    runs_ = labels.join(lines.where("text <> '>> quiet'").select("meeting_id", "start_ms"), ["meeting_id", "start_ms"], "left_semi")
+    return runs_.groupBy("meeting_id").agg(F.count("*").alias("handed"))
+
+
+@R.add("""WITH t AS (SELECT conv_id * 1000 + turn AS answer_id, turn % 5 AS form FROM conversations)
+SELECT answer_id, CASE form WHEN 0 THEN 'ok' WHEN 1 THEN 'no-handle' WHEN 2 THEN 'unknown-handle' WHEN 3 THEN 'number-not-in-evidence' ELSE 'quote-not-verbatim' END AS code FROM t""")
+def ground_codes(spark: SparkSession, d: str) -> DataFrame:
+    """[ST26, ST27, ST29] Sentences about each turn, checked against its words."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), r"(?i)\\b(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty)\\b", "x"))
+    t = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), (F.col("turn") % 5).alias("form"), F.concat(F.lit("So it is. "), plain).alias("text"))
+    said = F.when(F.col("form") == 0, 'They said "So it is." [E1].').when(F.col("form") == 1, "They said so.").when(F.col("form") == 2, "They said so [E2].").when(F.col("form") == 3, "They said so 987654 times [E1].").otherwise('They said "never, never" [E1].')
+    evidence = t.select("answer_id", F.lit("[E1]").alias("handle"), F.lit("video").alias("kind"), "text", F.lit(None).cast("int").alias("yes"), F.lit(None).cast("int").alias("no"))
+    return grounding.check_sentences(t.select("answer_id", said.alias("text")), evidence).select("answer_id", "code")
+
+
+@R.add("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), e AS (
+SELECT conv_id, 0 AS k, turn AS place, conv_id * 1000 + turn AS source_id FROM conversations UNION ALL SELECT page_id, 1, 0, page_id FROM pages UNION ALL SELECT item_id, 2, 0, item_id FROM benchmark),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k, place, source_id) AS n, count(*) OVER (PARTITION BY conv_id) AS whole FROM e)
+SELECT conv_id AS meeting_id, '[E' || n || ']' AS handle, CASE k WHEN 0 THEN 'video' WHEN 1 THEN 'record' ELSE 'vote' END AS kind, source_id, greatest(0, whole - 4) AS dropped FROM r WHERE n <= 4""")
+def evidence_packs(spark: SparkSession, d: str) -> DataFrame:
+    """[ST31] Lines, pages and votes of one number as a pack of four, with what the cut dropped."""
+    lines = read(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("place"), (F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), "text")
+    pages = read(spark, d, "pages").select(F.col("page_id").alias("meeting_id"), F.lit(0).cast("long").alias("place"), F.col("page_id").alias("source_id"), F.col("html").alias("text"))
+    votes = read(spark, d, "benchmark").select(F.col("item_id").alias("meeting_id"), F.lit(0).cast("long").alias("place"), F.col("item_id").alias("source_id"), "text")
+    return grounding.evidence_pack(lines, pages, votes, 4).select("meeting_id", "handle", "kind", "source_id", "dropped")
