@@ -53,7 +53,8 @@ def lines_to_question(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""SELECT event_id, array_to_string(list_sort(list(event_id) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 20 MINUTE PRECEDING AND INTERVAL 20 MINUTE FOLLOWING)), ',') AS near FROM events""")
 def time_window_text(spark: SparkSession, d: str) -> DataFrame:
-    """[WN9] What the same user did within twenty minutes, by a range window: no range join."""
+    """[WN9] What the same user did within twenty minutes, by a range window: no range join. The list is the answer, so one
+    user's rows of forty minutes must fit a row."""
     w = Window.partitionBy("user_id").orderBy(_micros(F.col("ts"))).rangeBetween(-20 * MINUTE, 20 * MINUTE)
     return read(spark, d, "events").select("event_id", F.array_sort(F.collect_list("event_id").over(w)).alias("ids")).select("event_id", F.array_join("ids", ",").alias("near"))
 
@@ -64,13 +65,13 @@ def time_window_text(spark: SparkSession, d: str) -> DataFrame:
 def forward_to_next_cue(spark: SparkSession, d: str) -> DataFrame:
     """[WN10] From each cue, the rows within six hours, cut at the user's next cue."""
     at = _micros(F.col("ts"))
-    cue = F.col("event_type") == "signup"
-    base = read(spark, d, "events").select("event_id", "user_id", "event_type", at.alias("at"))
-    ahead = Window.partitionBy("user_id").orderBy("at").rangeBetween(0, 360 * MINUTE)
-    later = Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    rows = base.select("event_id", cue.alias("cue"), F.collect_list(F.when(~cue, F.struct("at", "event_id"))).over(ahead).alias("ahead"), F.min(F.when(cue, F.col("at"))).over(later).alias("until")).where("cue")
-    left = rows.withColumn("kept", F.filter("ahead", lambda x: F.col("until").isNull() | (x["at"] < F.col("until"))))
-    return left.select("event_id", F.size("kept").cast("long").alias("n"), F.array_min(F.transform("kept", lambda x: x["event_id"])).alias("least"))
+    base = read(spark, d, "events").select("event_id", "user_id", at.alias("at"), (F.col("event_type") == "signup").alias("cue"))
+    order = Window.partitionBy("user_id").orderBy("at", F.desc("cue"), "event_id")
+    # each row belongs to the cue before it, if that is near enough; so a cue's rows end at the next cue
+    dealt = base.withColumn("to", F.last(F.when(F.col("cue"), F.struct("event_id", "at")), ignorenulls=True).over(order))
+    inside = ~F.col("cue") & (F.col("at") <= F.col("to.at") + 360 * MINUTE)
+    found = dealt.where("to is not null").groupBy("to.event_id").agg(F.count_if(inside).alias("n"), F.min(F.when(inside, F.col("event_id"))).alias("least"))
+    return base.where("cue").select("event_id").join(found, "event_id")
 
 
 @R.add("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -169,8 +170,11 @@ def nearest_by_ordinal(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""SELECT conv_id, count(*) FILTER (k > 3) AS n_dropped, string_agg('[E' || k || '] ' || coalesce(text, ''), chr(10) ORDER BY k) FILTER (k <= 3) AS pack FROM (
           SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id""")
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
-    """[ST31] Stable handles for the first three lines of each conversation, and how many are beyond."""
-    row = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))
-    lines = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    told = F.transform(F.slice("rows", 1, 3), lambda x, i: F.concat(F.lit("[E"), (i + 1).cast("string"), F.lit("] "), x["text"]))
-    return lines.select("conv_id", F.greatest(F.size("rows") - 3, F.lit(0)).cast("long").alias("n_dropped"), F.array_join(told, "\n").alias("pack"))
+    """Stable handles for the first three lines of each conversation, and how many are beyond."""
+    lines = read(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    first = lines.withColumn("k", F.row_number().over(order)).where("k <= 3")  # Spark keeps three rows a conversation before the shuffle
+    told = F.concat(F.lit("[E"), F.col("k").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    packs = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", told.alias("t")))).alias("xs"))
+    sizes = lines.groupBy("conv_id").agg(F.greatest(F.count("*") - 3, F.lit(0).cast("long")).alias("n_dropped"))
+    return sizes.join(packs, "conv_id").select("conv_id", "n_dropped", F.array_join(F.transform("xs", lambda x: x["t"]), "\n").alias("pack"))

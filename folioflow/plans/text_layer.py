@@ -58,7 +58,7 @@ def bm25_topk_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def search_one_hit_per_mention(spark: SparkSession, d: str) -> DataFrame:
-    """[FT10, SL7, SL8, JN3] Best windows for a question, one a mention, tightest and phrase first."""
+    """[FT10, SL7, JN3] Best windows for a question, one a mention, tightest and phrase first."""
     return search.search_lines(_lines(spark, d), "of the", 50)
 
 
@@ -97,16 +97,17 @@ def phonetic_key(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def name_matches(spark: SparkSession, d: str) -> DataFrame:
-    """[JN17, ST14, CX3] Misspelt part names against the true ones of the same brand."""
+    """[JN17, ST14] All part names, misspelt, against the true ones of the same brand and size."""
+    body = F.concat_ws("-", "p_brand", "p_size").alias("body_id")
     p = read(spark, d, "part")
-    officials = p.where("p_partkey % 4 = 0").select(F.col("p_brand").alias("body_id"), F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"))
-    spoken = p.where("p_partkey % 4 = 1").select(F.col("p_brand").alias("body_id"), F.col("p_partkey").alias("spoken_id"), F.translate("p_name", "aei", "eia").alias("spoken"))
+    officials = p.select(body, F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"))
+    spoken = p.select(body, F.col("p_partkey").alias("spoken_id"), F.translate("p_name", "aei", "eia").alias("spoken"))
     return names.match_names(spoken, officials)
 
 
 @R.add("""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages""")
 def url_identity(spark: SparkSession, d: str) -> DataFrame:
-    """[ST19, ST20]"""
+    """Host and path of addresses."""
     u = F.col("url")
     return read(spark, d, "pages").select("page_id", F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract(u, r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
 
