@@ -26,13 +26,14 @@ def natural_id(*parts: str | Column) -> Column:
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     """[SRC3] Appends the rows whose key the table doesn't hold yet, and returns the table."""
     spark = rows.sparkSession
-    stored = _stored(spark, path, rows)
+    stored = stored_rows(spark, path, rows)
     fresh = rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(rows.columns)
     fresh.write.mode("append").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def stored_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at a path, empty where there is none yet."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     return spark.read.schema(like.schema).parquet(path) if there else like.where("false")

@@ -1,0 +1 @@
+"""The time-driven parts as Structured Streaming jobs."""
