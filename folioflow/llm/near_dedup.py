@@ -214,10 +214,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, but one of each group of near copies only: that of the smallest (doc_id, text hash).
 
-    Rows that are equal in doc_id and text are copies too: one stays. Rows without doc_id or without words are in no group and
-    stay. Null texts, empty tables and extra columns of any name are allowed."""
+    Rows that are equal in doc_id and text are copies too: one stays. Rows without words (such as texts that an earlier step
+    has emptied) are copies where their texts are equal. Rows without doc_id are in no group and stay. Null texts, empty
+    tables and extra columns of any name are allowed."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    told = _told(docs).where("doc_id is not null and n_shingles > 0")
+    told = _told(docs).where("doc_id is not null")
+    blank = told.where("n_shingles = 0")
+    least = blank.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    blank = blank.drop("first_id", "first_key").join(least, "text_key").withColumn("first_key", F.col("text_key"))
+    told = told.where("n_shingles > 0").unionByName(blank)
     chosen = (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     counted = told.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.max(chosen).alias("chosen"), F.count("*").alias("n"))
     decided = scratch.write("decided", counted.where("not chosen or n > 1"))
