@@ -62,13 +62,9 @@ class Bpe:
             rank.setdefault(name, len(rank))
         self.bytes = [bytes(byte[c] for c in name) for name in rank]
         self.to_id = [vocab[name] for name in rank]
-        self.parts = [(r, r) for r in range(256)] + [(0, 0)] * (len(rank) - 256)
-        self.pair = {}
+        self.pair: dict[tuple[int, int], int] = {}
         for a, b in merges:
-            if rank[a + b] >= 256 and (rank[a], rank[b]) not in self.pair:
-                if self.parts[rank[a + b]] == (0, 0):
-                    self.parts[rank[a + b]] = (rank[a], rank[b])
-                self.pair[rank[a], rank[b]] = rank[a + b]
+            self.pair.setdefault((rank[a], rank[b]), rank[a + b])
         of_bytes = {b: r for r, b in enumerate(self.bytes)}
         self.shorter = [next((of_bytes[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in of_bytes), -1) for b in self.bytes]
         self.length = [len(b) for b in self.bytes]
@@ -94,25 +90,17 @@ class Bpe:
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
-        # Undo merges from the latest back. Tokens that meet at the border and could merge earlier than the merge
-        # undone last would have been taken apart by that earlier merge.
-        before = len(self.bytes) + 1
+        """By the definition: the joined bytes are merged, the earliest merge first and of equal ones the leftmost; no merge may join the border."""
+        parts, border = [*self.bytes[left], *self.bytes[right]], len(self.bytes[left])  # the rank of a byte is the byte
         while True:
-            joined = self.pair.get((left, right))
-            if joined is not None and joined < before:
+            merges = [(r, k) for k, p in enumerate(zip(parts, parts[1:])) if (r := self.pair.get(p)) is not None]
+            if not merges:
+                return parts == [left, right]
+            rank, k = min(merges)
+            if k + 1 == border:
                 return False
-            if left > right:
-                before, left = left, self.parts[left][1]
-                if left == before:
-                    before, right = right + 1, self.parts[right][0]
-                    if right + 1 == before:
-                        return True
-            else:
-                before, right = right + 1, self.parts[right][0]
-                if right + 1 == before:
-                    before, left = left, self.parts[left][1]
-                    if left == before:
-                        return True
+            parts[k : k + 2] = [rank]
+            border -= k + 1 < border
 
     def encode(self, data: bytes) -> list[int]:
         """Ranks of the exact merges of one pre-token: each position and token is tried at most once."""
