@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
@@ -127,3 +127,61 @@ def html_agendas(pages: DataFrame, key: str, html: str, video_seconds: Column |
     rows = pages.select(key, length.alias("_length"), F.posexplode(_items(html)).alias("item_no", "i"))
     status = F.when(F.col("i.seconds").isNull(), "missing").when(F.col("i.seconds") > F.col("_length"), "outside_video").otherwise("usable")
     return rows.select(key, "item_no", "i.number", "i.title", "i.seconds", status.alias("time_status"))
+
+
+#: The marks of printed items, each on a line of its own; page footers; the appendix; endings of ordinals set apart.
+NUMBER_MARK, LETTER_MARK, SUB_MARK = r"^(\d{1,3})\.$", r"^([A-Za-z])\.$", r"^([A-Za-z])\.(\d{1,2})\.$"
+PAGE_FOOT, APPENDIX, ORDINAL = r"(?i)^Page\s+\d+$", r"(?i)^Appendix\b", "^(?:st|nd|rd|th)$"
+
+
+def _capitals(line: Column) -> Column:
+    return line.rlike(r"\p{L}") & (line == F.upper(line))
+
+
+def _title(lines: Column) -> Column:
+    """Lines as one title: a short piece of capitals and an ordinal's ending join tight, a comma goes back to the word before it."""
+
+    def add(title: Column, line: Column) -> Column:
+        broken = _capitals(line) & line.rlike(r"^\p{L}{1,4}$")
+        tight = broken | (title.rlike(r"\d$") & line.rlike(ORDINAL))
+        return F.when(title == "", line).when(tight, F.concat(title, line)).otherwise(F.concat(title, F.lit(" "), line))
+
+    return F.trim(F.regexp_replace(F.aggregate(lines, F.lit(""), add), r"\s+,", ","))
+
+
+def printed_agendas(pages: DataFrame, key: str) -> DataFrame:
+    """[SRC11] key, item_no (from 0), number, title of the text pages (key, page, text) of printed agendas.
+
+    Footers go with the line above them. A number opens a section, whose title is the next line and capital lines after it; a letter, or
+    letter and number, in a section opens an item, whose title goes on to the next mark or blank line. After the appendix numbers
+    stand alone. Marks are found by running counts over a document's lines, so none is walked by hand."""
+    split = pages.select(key, "page", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)).alias("line_no", "raw"))
+    clean = split.withColumn("line", F.trim(F.regexp_replace("raw", r"[\s ]+", " "))).drop("raw")
+    page = Window.partitionBy(key, "page")
+    last = F.max(F.when(F.col("line") != "", F.struct("line_no", "line"))).over(page)
+    foot = F.coalesce(last["line"].rlike(PAGE_FOOT), F.lit(False))
+    body = clean.withColumns({"last": last["line_no"], "foot": foot}).where("line_no <= last and not (foot and line_no >= last - 1)")
+    order = Window.partitionBy(key).orderBy("page", "line_no")
+    t = F.col("line")
+    kind = F.when(t.rlike(APPENDIX), "appendix").when(t.rlike(NUMBER_MARK), "number").when(t.rlike(LETTER_MARK), "letter").when(t.rlike(SUB_MARK), "sub").when(t == "", "blank").otherwise("text")
+    marked = body.withColumn("kind", kind).withColumn("after", F.max((F.col("kind") == "appendix").cast("int")).over(order) == 1)
+    section = F.last(F.when((F.col("kind") == "number") & ~F.col("after"), F.regexp_extract(t, NUMBER_MARK, 1)), ignorenulls=True).over(order)
+    marked = marked.withColumns({"section": F.when(~F.col("after"), section), "part": F.sum((F.col("kind") != "text").cast("int")).over(order)})
+    number = (
+        F.when((F.col("kind") == "number") & F.col("after"), F.regexp_extract(t, NUMBER_MARK, 1))
+        .when(F.col("kind") == "number", F.concat(F.col("section"), F.lit(".")))
+        .when(F.col("kind") == "letter", F.concat(F.col("section"), F.lit("."), F.regexp_extract(t, LETTER_MARK, 1)))
+        .when(F.col("kind") == "sub", F.concat(F.col("section"), F.lit("."), F.regexp_replace(t, SUB_MARK, "$1.$2")))
+    )
+    rows = marked.withColumn("number", number)
+    head = lambda c: F.max(F.when(F.col("kind") != "text", F.col(c)))
+    text = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("page", "line_no", "line"))))
+    parts = rows.groupBy(key, "part").agg(head("number").alias("number"), head("kind").alias("kind"), head("after").alias("after"), text.alias("xs")).where("number is not null and size(xs) > 0")
+    lines = F.transform("xs", lambda x: x["line"])
+    # of a section's title: the first line, and if it is in capitals those after it up to the first that isn't
+    capitals = F.transform(lines, _capitals)
+    until = F.array_position(capitals, False)
+    kept = F.when(F.element_at(capitals, 1) & (until == 0), lines).otherwise(F.slice(lines, F.lit(1), F.greatest(F.lit(1), until.cast("int") - 1)))
+    title = _title(F.when((F.col("kind") == "number") & ~F.col("after"), kept).otherwise(lines))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1
+    return parts.withColumn("title", title).where("title <> ''").select(key, place.alias("item_no"), "number", "title")

@@ -178,3 +178,10 @@ def test_typed_rows_and_writes(spark, tmp_path):
     again = spark.createDataFrame([("m", 1), ("m", 2), ("n", 3)], "kind string, v int")
     tables.write_again(again, str(tmp_path / "p"), "kind")
     assert sorted(tuple(r) for r in tables.write_again(spark.createDataFrame([("m", 7)], again.schema), str(tmp_path / "p"), "kind").collect()) == [("m", 7), ("n", 3)]
+
+
+def test_printed_agendas(spark):
+    pages = ["Town Hall\n1.\nCALL TO ORD\nER\nnot capitals\n\n9.\nCONSENT AGENDA\nA.\nO-2026-74\n, A Bill for the 1\nst\nreading\n\nloose\nB.\n\nI.1.\nSub item\nTown Hall, September 8\nPage 1", "10.\n\nC.\nof ten\nAppendix\nD.\nnothing\n3.\nTables\xa0of water\r\n \nPage 2 of 3"]
+    rows = spark.createDataFrame([(7, k, t) for k, t in enumerate(pages)], "record_id long, page int, text string")
+    got = [tuple(r)[2:] for r in agendas.printed_agendas(rows, "record_id").orderBy("item_no").collect()]
+    assert got == [("1.", "CALL TO ORDER"), ("9.", "CONSENT AGENDA"), ("9.A", "O-2026-74, A Bill for the 1st reading"), ("9.I.1", "Sub item"), ("10.C", "of ten"), ("3", "Tables of water")]
