@@ -61,24 +61,28 @@ class CountTree:
 
     def __init__(self, counts: Counts, text: str, chars: np.ndarray, tokens: np.ndarray):
         self.counts, self.encoded_chars = counts, 0
-        ends = np.cumsum(chars)
-        self.leaves = []
-        for i in range(0, max(1, len(chars)), LEAF):
-            c = chars[i : i + LEAF]
-            stop = int(ends[i + len(c) - 1]) if len(c) else 0
-            self.leaves.append((text[stop - int(c.sum()) : stop], c, tokens[i : i + LEAF]))
-        self._sum()
+        self.base = text, chars, tokens, np.append(0, np.cumsum(chars))  # leaves are cut out of it when they are first touched
+        self.leaves: list[tuple | int] = list(range(0, max(1, len(chars)), LEAF))
+        sums = [np.add.reduceat(x, self.leaves) if len(x) else [0] for x in (chars, tokens)]
+        self._sum(np.stack(sums, 1))
 
     @classmethod
     def build(cls, counts: Counts, text: str) -> CountTree:
         """Encodes the whole text."""
         return cls(counts, text, *_whole(counts, text))
 
-    def _sum(self) -> None:
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
+    def _leaf(self, k: int) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, characters and tokens of the k-th leaf."""
+        if isinstance(at := self.leaves[k], int):
+            text, chars, tokens, ends = self.base
+            stop = min(at + LEAF, len(chars))
+            self.leaves[k] = text[ends[at] : ends[stop]], chars[at:stop], tokens[at:stop]
+        return self.leaves[k]
+
+    def _sum(self, of_leaves: np.ndarray) -> None:
+        self.width = 1 << (len(of_leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (t, _, n) in enumerate(self.leaves):
-            self.sums[self.width + i] = len(t), n.sum()
+        self.sums[self.width : self.width + len(of_leaves)] = of_leaves
         level = self.width
         while level > 1:
             half = level // 2
@@ -97,13 +101,23 @@ class CountTree:
     def depth(self) -> int:
         return self.width.bit_length()
 
+    def kept(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, characters and tokens of the pre-tokens: what a table keeps. Leaves that no edit touched come in stretches."""
+        text, chars, tokens, ends = self.base
+        parts, k = [], 0
+        while k < len(self.leaves):
+            if isinstance(at := self.leaves[k], int):
+                while k < len(self.leaves) and isinstance(self.leaves[k], int):
+                    stop, k = min(self.leaves[k] + LEAF, len(chars)), k + 1
+                parts.append((text[ends[at] : ends[stop]], chars[at:stop], tokens[at:stop]))
+            else:
+                parts.append(self.leaves[k])
+                k += 1
+        return "".join(x[0] for x in parts), *(np.concatenate([x[i] for x in parts]) for i in (1, 2))
+
     @property
     def text(self) -> str:
-        return "".join(t for t, _, _ in self.leaves)
-
-    def kept(self) -> tuple[str, np.ndarray, np.ndarray]:
-        """Text, characters and tokens of the pre-tokens: what a table keeps."""
-        return self.text, *(np.concatenate([x[k] for x in self.leaves]).astype(np.int32) for k in (1, 2))
+        return self.kept()[0]
 
     def _leaf_at(self, at: int) -> tuple[int, int]:
         """The leaf with the character at this place (the last one with text beyond the end), and where the leaf starts."""
@@ -126,17 +140,17 @@ class CountTree:
     def _back(self, at: int) -> tuple[int, int, int]:
         """Leaf, index in it and place of the pre-token that is CONTEXT before the one that holds the character before `at`."""
         leaf, start = self._leaf_at(max(0, at - 1))
-        ends = start + np.cumsum(self.leaves[leaf][1])
+        ends = start + np.cumsum(self._leaf(leaf)[1])
         k = min(int(np.searchsorted(ends, max(0, at - 1), side="right")), max(0, len(ends) - 1))
         place = int(ends[k - 1]) if k else start
         for _ in range(CONTEXT):
             while k == 0 and leaf > 0:
                 leaf -= 1
-                k = len(self.leaves[leaf][1])
+                k = len(self._leaf(leaf)[1])
             if k == 0:
                 break
             k -= 1
-            place -= int(self.leaves[leaf][1][k])
+            place -= int(self._leaf(leaf)[1][k])
         return leaf, k, place
 
     def edit(self, start: int, stop: int, new: str) -> None:
@@ -148,7 +162,7 @@ class CountTree:
         stop = max(start, min(stop, self.n_chars))
         reach = max(map(len, self.counts.bpe.special), default=1)
         leaf, k, place = self._back(start - reach)
-        head = self.leaves[leaf]
+        head = self._leaf(leaf)
         kept = int(head[1][:k].sum())
         # leaves are joined until the pre-tokens meet again; from there on all is as before
         last, region = leaf, head[0][kept:]
@@ -159,7 +173,7 @@ class CountTree:
                 text = region[: start - place] + new + region[stop - place :]
                 # the last pre-tokens before a cut could go on beyond it
                 safe = len(text) if not more else len(text) - reach
-                old = place + np.cumsum(np.concatenate([x[1] for x in [(None, head[1][k:]), *self.leaves[leaf + 1 : last + 1]]]))
+                old = place + np.cumsum(np.concatenate([x[1] for x in [(None, head[1][k:]), *map(self._leaf, range(leaf + 1, last + 1))]]))
                 meeting = set(old[old >= stop].tolist())
                 shift, found, met = len(new) - (stop - start), [], None
                 for at, special in boundaries(self.counts.bpe, text):
@@ -172,25 +186,30 @@ class CountTree:
                 if met is not None or not more:
                     break
             last += 1
-            region += self.leaves[last][0]
+            region += self._leaf(last)[0]
         met = len(text) if met is None else met
         chars, tokens = _measured(self.counts, text[:met], found)
         self.encoded_chars += met
         rest = int(np.searchsorted(old, met + place - shift, side="right")) if len(old) else 0  # old pre-tokens that were read again
-        old_chars = np.concatenate([head[1][k:], *[x[1] for x in self.leaves[leaf + 1 : last + 1]]])[rest:]
-        old_tokens = np.concatenate([head[2][k:], *[x[2] for x in self.leaves[leaf + 1 : last + 1]]])[rest:]
+        old_chars = np.concatenate([head[1][k:], *[x[1] for x in map(self._leaf, range(leaf + 1, last + 1))]])[rest:]
+        old_tokens = np.concatenate([head[2][k:], *[x[2] for x in map(self._leaf, range(leaf + 1, last + 1))]])[rest:]
         empty = np.zeros(0, np.int64)
         for i in range(leaf + 1, last + 1):
             self._set(i, "", empty, empty)
         self._set(leaf, head[0][:kept] + text, np.concatenate([head[1][:k], chars, old_chars]), np.concatenate([head[2][:k], tokens, old_tokens]))
-        if len(self.leaves[leaf][1]) > 2 * LEAF:
+        if len(self._leaf(leaf)[1]) > 2 * LEAF:
             self._split(leaf)
 
     def _split(self, leaf: int) -> None:
-        text, chars, tokens = self.leaves[leaf]
-        self.leaves[leaf : leaf + 1] = CountTree(self.counts, text, chars, tokens).leaves
-        self.leaves = [x for x in self.leaves if len(x[1])] or self.leaves[:1]
-        self._sum()
+        text, chars, tokens = self._leaf(leaf)
+        ends, fresh = np.append(0, np.cumsum(chars)), []
+        for i in range(0, len(chars), LEAF):
+            stop = min(i + LEAF, len(chars))
+            fresh.append((text[ends[i] : ends[stop]], chars[i:stop], tokens[i:stop]))
+        old = self.sums[self.width : self.width + len(self.leaves)]
+        own = np.array([(len(t), n.sum()) for t, _, n in fresh], np.int64)
+        self.leaves[leaf : leaf + 1] = fresh
+        self._sum(np.concatenate([old[:leaf], own, old[leaf + 1 :]]))
 
 
 def _measured(counts: Counts, text: str, ends: Iterable[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,21 +224,31 @@ def _measured(counts: Counts, text: str, ends: Iterable[tuple[int, bool]]) -> tu
 
 def _whole(counts: Counts, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tokens of all pre-tokens of a text."""
-    chars, tokens = [], []
+    parts = []
     for part in counts.bpe.split_special.split(text) if counts.bpe.split_special else [text]:
         if part in counts.bpe.special:
-            chars.append(len(part))
-            tokens.append(1)
+            parts.append((np.array([len(part)], np.int64), np.ones(1, np.int64)))
         else:
             found = pieces(part)
-            chars += map(len, found)
-            tokens += map(counts.__getitem__, found)
-    return np.array(chars, np.int32), np.array(tokens, np.int32)
+            parts.append(tuple(np.fromiter(map(f, found), np.int64, len(found)) for f in (len, counts.__getitem__)))
+    return tuple(np.concatenate([p[k] for p in parts]) if len(parts) > 1 else parts[0][k] for k in (0, 1))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """One byte for the width, then little-endian numbers of it: of one byte where all fit."""
+    width = 1 if numbers.max(initial=0) < 256 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-#: A kept tree: text, characters and tokens of its pre-tokens, tokens now and when it was built, and what its edits had encoded.
-TREE = "doc_id long, text string, chars array<int>, tokens array<int>, n_tokens long, built_tokens long, encoded_chars long, depth int"
+#: A kept tree: text, characters and tokens of its pre-tokens (packed), tokens now and when it was built, and what its edits had encoded.
+TREE = "doc_id long, text string, chars binary, tokens binary, n_tokens long, built_tokens long, encoded_chars long, depth int"
 _COLUMNS = [c.split()[0] for c in TREE.split(", ")]
+#: Trees that a task hands on at once.
+HANDED = 500
 
 
 def count_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -231,12 +260,14 @@ def count_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _counts(path)
-        for b in batches:
-            measured = [_whole(counts, text) for text in b.text.array]
-            n = [int(t.sum()) for _, t in measured]
-            depth = [max(0, -(-len(c) // LEAF) - 1).bit_length() + 1 for c, _ in measured]
-            rows = {"doc_id": b.doc_id.astype("Int64"), "text": b.text, "chars": [c for c, _ in measured], "tokens": [t for _, t in measured]}
-            yield pd.DataFrame(rows | {"n_tokens": n, "built_tokens": n, "encoded_chars": 0, "depth": depth})
+        for x in batches:
+            for at in range(0, len(x), HANDED):
+                out = []
+                for doc_id, text in zip(x.doc_id.array[at : at + HANDED], x.text.array[at : at + HANDED]):
+                    chars, tokens = _whole(counts, text)
+                    n = int(tokens.sum())
+                    out.append((doc_id, text, packed(chars), packed(tokens), n, n, 0, max(0, -(-len(chars) // LEAF) - 1).bit_length() + 1))
+                yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, TREE)
 
@@ -250,14 +281,16 @@ def edited(trees: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _counts(path)
-        for b in batches:
-            out = []
-            for doc_id, text, chars, tokens, built, encoded, edits in zip(b.doc_id.array, b.text, b.chars, b.tokens, b.built_tokens, b.encoded_chars, b.edits):
-                tree = CountTree(counts, text, np.asarray(chars, np.int64), np.asarray(tokens, np.int64))
-                for e in edits if edits is not None else []:
-                    tree.edit(e["start"], e["stop"], e["text"] or "")
-                out.append((doc_id, *tree.kept(), tree.n_tokens, built, encoded + tree.encoded_chars, tree.depth))
-            yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
+        for x in batches:
+            for at in range(0, len(x), HANDED):
+                out = []
+                for doc_id, text, chars, tokens, built, encoded, edits in x.iloc[at : at + HANDED].itertuples(index=False, name=None):
+                    tree = CountTree(counts, text, unpacked(chars), unpacked(tokens))
+                    for e in edits if edits is not None else []:
+                        tree.edit(e["start"], e["stop"], e["text"] or "")
+                    new, *numbers = tree.kept()
+                    out.append((doc_id, new, *map(packed, numbers), tree.n_tokens, built, encoded + tree.encoded_chars, tree.depth))
+                yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
     edits = F.col("edits").cast("array<struct<start:bigint,stop:bigint,text:string>>")
     return trees.select("doc_id", "text", "chars", "tokens", "built_tokens", "encoded_chars", edits.alias("edits")).mapInPandas(run, TREE)

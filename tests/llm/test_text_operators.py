@@ -97,7 +97,7 @@ def test_counts_follow_edits(library):
             text = text[:a] + new + text[max(b, a) :]
             assert tree.text == text and tree.n_chars == len(text)
             assert tree.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
-            assert max(len(c) for _, c, _ in tree.leaves) <= 2 * token_counts.LEAF
+            assert max(len(tree._leaf(k)[1]) for k in range(len(tree.leaves))) <= 2 * token_counts.LEAF
             if rng.random() < 0.3:  # through a table row
                 tree = token_counts.CountTree(counts, *tree.kept())
 
