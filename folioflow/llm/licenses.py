@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -126,7 +127,10 @@ def _items(spark: SparkSession, weight: dict[str, float]) -> DataFrame:
 
     keys = [(f"key:{k}", True, len(k.split()), 0.0, 0.0, PHRASES.get(k), None, postings(k)) for k in KEYS]
     own = [(f"text:{t}", False, len(t.split()), _total(t, weight), LEAST_SCORE * _total(t, weight) - 1e-9, label, f"key:{k}", postings(t)) for label, t, k in TEMPLATES]
-    return spark.createDataFrame(keys + own, "item string, key boolean, size int, total double, least double, label string, needs string, postings array<struct<w:string,at:int,weight:double>>")
+    names = ("item", "key", "size", "total", "least", "label", "needs")
+    rows = [dict(zip(names, r)) | {"postings": [dict(zip(("w", "at", "weight"), p)) for p in r[-1]]} for r in keys + own]
+    schema = "array<struct<item:string,key:boolean,size:int,total:double,least:double,label:string,needs:string,postings:array<struct<w:string,at:int,weight:double>>>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("i")).select("i.*")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
