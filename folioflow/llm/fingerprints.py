@@ -44,10 +44,9 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = scratch.write("found", _in_turn(docs, bits, False))
-    several = scratch.write("several", found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
-    # the bytes of a bucket are compared by their least and greatest, so a bucket of any size is summed up where it is read
-    bucket = _digests(docs, bits).join(several, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
-    mixed = scratch.write("mixed", bucket.where("lo <> hi").select("fingerprint"))
+    # a bucket's bytes are made distinct where they are read, so a bucket of any size is sent on about once a task
+    distinct = _digests(docs, bits).distinct()
+    mixed = scratch.write("mixed", distinct.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     if not mixed.isEmpty():
         found = _with_classes(scratch.write("whole", _in_turn(docs, bits, True)))
     return found.select(*COLUMNS)
