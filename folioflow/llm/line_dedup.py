@@ -87,8 +87,9 @@ def _decided(docs: DataFrame, scratch: Scratch) -> DataFrame:
     repeats = scratch.write("repeats", spread.join(groups, ["h", "g"]).select("_id", "_key", "k", "n", "h", "g", overlaps.alias("stays")))
     scratch.drop("seeds")
 
+    # joined by merging at every size: what is joined to the texts grows with them, so it's never broadcast
     listed = repeats.groupBy("_id", "_key").agg(F.collect_set(F.struct("k", "n", "h", "g")).alias("_all"))
-    lines = own.join(listed, ["_id", "_key"]).select(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"), F.explode("_all").alias("d"))
+    lines = own.hint("merge").join(listed, ["_id", "_key"]).select(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"), F.explode("_all").alias("d"))
     runs = lines.select("d.h", "d.g", F.array_join(F.slice("_lines", F.col("d.k") + 1, F.col("d.n")), "\n").alias("run"))
     unequal = scratch.write("unequal", runs.groupBy("h", "g").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi").select("h", "g"))  # hash collisions
     going = repeats.where("not stays").join(unequal, ["h", "g"], "left_anti")
@@ -111,7 +112,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; extra columns of any name stay in row."""
     decided = _decided(docs, Scratch(docs.sparkSession, "line-dedup"))
     rows = as_rows(docs).select("row", F.coalesce("i", F.lit(ABSENT)).alias("_id"), F.col("k").alias("_key"))
-    whole = with_chunks(rows.join(decided, ["_id", "_key"], "left").withColumn("text", F.col("row.text")))
+    whole = with_chunks(rows.hint("merge").join(decided, ["_id", "_key"], "left").withColumn("text", F.col("row.text")))
     gone = F.array_distinct(F.flatten(F.transform(F.coalesce("_dup", F.array()), lambda d: F.sequence(d["k"], d["k"] + d["n"] - 1))))
     out = whole.withColumn("_gone", gone)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
