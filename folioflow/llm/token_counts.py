@@ -305,14 +305,12 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each document, and after two rounds of edits of its kept tree: a word put in at a third and ten characters
-    replaced in the middle; then, from the table of the first round, ten cut near the end."""
-    scratch = Scratch(spark, "token-counts")
-    trees = scratch.write("trees", count_trees(table(spark, sf_dir, "documents")))
+    """Counts of each document, and after three edits of its kept tree, which is read back from its table: a word put in at a third,
+    ten characters replaced in the middle, ten cut near the end."""
+    trees = Scratch(spark, "token-counts").write("trees", count_trees(table(spark, sf_dir, "documents")))
     n = F.length("text").cast("long")
     edit = lambda at, size, new: F.struct(at.cast("long").alias("start"), (at.cast("long") + size).alias("stop"), new.alias("text"))
-    first = F.array(edit(n / 3, 0, F.lit(" revised")), edit(n / 2, 10, F.concat(F.lit(" no. "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    once = scratch.write("once", edited(trees.withColumn("edits", first)))
-    scratch.drop("trees")
-    twice = edited(once.withColumn("edits", F.array(edit(F.greatest(n - 20, F.lit(0)), 10, F.lit("")))))
-    return twice.select("doc_id", F.col("built_tokens").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.length("text").cast("long").alias("n_chars_edited"), "encoded_chars", "depth")
+    number = F.concat(F.lit(" no. "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    edits = F.array(edit(n / 3, 0, F.lit(" revised")), edit(n / 2, 10, number), edit(F.greatest(n - 20, F.lit(0)), 10, F.lit("")))
+    done = edited(trees.withColumn("edits", edits))
+    return done.select("doc_id", F.col("built_tokens").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.length("text").cast("long").alias("n_chars_edited"), "encoded_chars", "depth")
