@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, in_order, partitions_for, range_starts, table
 
+#: Digests (8 bytes each) of repeated texts that are sent to all tasks; if there are more, they are joined by merging.
+BROADCAST = 1 << 20
+
+
 def canonical(text: str) -> bytes:
     """NFKC, case folded, NFKC again, runs of white space as one blank, none at the ends; in UTF-8."""
     if not text.isascii():
@@ -44,9 +48,12 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = scratch.write("found", _in_turn(docs, bits, False))
-    # a bucket's bytes are made distinct where they are read, so a bucket of any size is sent on about once a task
-    distinct = _digests(docs, bits).distinct()
-    mixed = scratch.write("mixed", distinct.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    # only digests that occur again are compared; a bucket's bytes are made distinct where they are read, so a bucket of any size is sent on once a task
+    again = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fingerprint").alias("h"))
+    several = scratch.write("several", again)
+    known = F.broadcast(several) if several.count() <= BROADCAST else several.hint("merge")
+    rows = _digests(docs, bits).withColumn("h", F.xxhash64("fingerprint")).join(known, "h", "left_semi").drop("h").distinct()
+    mixed = scratch.write("mixed", rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     if not mixed.isEmpty():
         found = _with_classes(scratch.write("whole", _in_turn(docs, bits, True)))
     return found.select(*COLUMNS)
