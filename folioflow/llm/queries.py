@@ -6,16 +6,19 @@ from folioflow.llm.bpe import op3_bpe
 from folioflow.llm.chat import OP4_SQL, op4_chat_format
 from folioflow.llm.decontaminate import op1_decontaminate
 from folioflow.llm.fingerprints import op5_fingerprints
+from folioflow.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from folioflow.llm.licenses import op8_license_scan
 from folioflow.llm.line_dedup import op10_line_dedup
+from folioflow.llm.merkle import OP12_SQL, op12_merkle
 from folioflow.llm.near_dedup import op7_near_dedup
 from folioflow.llm.quality import op6_quality
 from folioflow.llm.token_counts import op9_token_counts
 from folioflow.llm.token_files import op2_token_files
+from folioflow.llm.url_filter import OP13_SQL, op13_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_token_files, op3_bpe, op4_chat_format, op5_fingerprints, op6_quality, op7_near_dedup, op8_license_scan, op9_token_counts, op10_line_dedup)
+    for f in (op1_decontaminate, op2_token_files, op3_bpe, op4_chat_format, op5_fingerprints, op6_quality, op7_near_dedup, op8_license_scan, op9_token_counts, op10_line_dedup, op11_hard_negatives, op12_merkle, op13_url_filter)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,4 +43,4 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN component c ON c.doc_id = d.doc_id
 """
 
-ORACLES = {"op4_chat_format": OP4_SQL, "op7_near_dedup": OP7_SQL}
+ORACLES = {"op4_chat_format": OP4_SQL, "op7_near_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL, "op13_url_filter": OP13_SQL}
