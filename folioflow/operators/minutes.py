@@ -128,3 +128,34 @@ def spoken_votes(lines: DataFrame, items: DataFrame) -> DataFrame:
     single = named.groupBy("meeting_id", "line_id").agg(F.count("*").alias("n"), F.min("item_no").alias("item_no")).where("n = 1").drop("n")
     first = motion.join(single, ["meeting_id", "line_id"]).groupBy("meeting_id", "item_no").agg(F.min(F.struct("start_ms", "line_id", F.col("text").alias("motion"), "outcome")).alias("x"))
     return first.select("meeting_id", "item_no", "x.start_ms", spoken_result(F.col("x.outcome")).alias("result"), "x.motion", "x.outcome")
+
+
+#: Offices that minutes print before names, with what they are called and their rank (null: the common one), the common office, and how many words a printed name may have.
+OFFICES = {
+    "mayor pro tem": ("Mayor Pro Tem", 2), "mayor": ("Mayor", 3), "council member": None, "councilmember": None, "councilman": None, "councilwoman": None,
+}
+COMMON_OFFICE, NAME_WORDS = "Council Member", 3
+_NAME = rf"[A-Za-z][\w'’.\-]*(?:\s+[A-Za-z][\w'’.\-]*){{0,{NAME_WORDS - 1}}}"
+
+
+def printed_offices(pages: DataFrame, people: DataFrame, offices: dict[str, tuple[str, int] | None] = OFFICES) -> DataFrame:
+    """[ST23] meeting_id, name, office: the highest office that a meeting's pages print in front of each of its people; the common one if none.
+
+    Offices are one pattern, the longest first, so that one which begins like another is read whole. A printed name is a person's if it begins with
+    their last word, or with all their words: both are keys, so pages and people meet by equi joins in a meeting, not pair by pair.
+    pages: meeting_id, text; people: meeting_id, name."""
+    words = "|".join(r"\s+".join(o.split()) for o in sorted(offices, key=len, reverse=True))
+    found = F.regexp_extract_all("text", F.lit(rf"(?iU)\b({words})\s+({_NAME})"), F.lit(1)), F.regexp_extract_all("text", F.lit(rf"(?iU)\b({words})\s+({_NAME})"), F.lit(2))
+    lines = pages.select("meeting_id", F.explode(F.split("text", "\n")).alias("text"))
+    seen = lines.select("meeting_id", F.explode(F.arrays_zip(found[0].alias("office"), found[1].alias("printed"))).alias("x"))
+    ranked = {k: v for k, v in offices.items() if v}
+    office = F.regexp_replace(F.lower("x.office"), r"\s+", " ")
+    told = F.create_map(*[F.lit(y) for k, (called, rank) in ranked.items() for y in (k, f"{rank:09d}{called}")])[office]
+    written = F.transform(F.split(F.lower("x.printed"), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:]+|[.,;:]+$", ""))
+    keys = F.array_append(F.transform(F.sequence(F.lit(1), F.size("written")), lambda n: F.concat(F.lit("all "), F.array_join(F.slice("written", F.lit(1), n), " "))), F.concat(F.lit("last "), F.get("written", F.lit(0))))
+    printed = seen.select("meeting_id", told.alias("told"), written.alias("written")).where("told is not null").select("meeting_id", "told", F.explode(F.array_distinct(keys)).alias("key")).distinct()
+    own = F.filter(F.split(F.lower(F.trim("name")), r"\s+"), lambda w: w != "")
+    known = people.select("meeting_id", "name").distinct()
+    ways = known.withColumn("own", own).where("size(own) > 0").select("meeting_id", "name", F.explode(F.array(F.concat(F.lit("all "), F.array_join("own", " ")), F.concat(F.lit("last "), F.element_at("own", -1)))).alias("key"))
+    best = ways.join(printed, ["meeting_id", "key"]).groupBy("meeting_id", "name").agg(F.substring(F.max("told"), 10, 1000).alias("office"))
+    return known.join(best, ["meeting_id", "name"], "left").select("meeting_id", "name", F.coalesce("office", F.lit(COMMON_OFFICE)).alias("office"))

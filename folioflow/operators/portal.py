@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from folioflow.functions.references import NUMBER_WORDS
-from folioflow.functions.text import fold_name, number_key
+from folioflow.functions.text import first_needle, fold_name, number_key
+from folioflow.functions.times import title_day
 
 #: Words of a title that tell the sitting, its state, how it was held or gathered; separators, marks, months; last words that a title may leave off.
 SITTINGS = ["continued meeting", "executive session", "joint meeting", "joint session", "pre session", "regular session", "special meeting", "special session", "study session", "work session", "workshop", "hearings", "meeting", "session"]
@@ -159,3 +160,90 @@ def consent_coverage(motions: DataFrame, items: DataFrame) -> DataFrame:
     under = F.startswith(own, base) & rest.rlike(r"^(?:\..*|[A-Za-z])$")
     inside = read.join(items.select("meeting_id", "item_no", "number"), "meeting_id").where(under)
     return inside.select("meeting_id", "ordinal", "item_no", (~F.array_contains("x.keys", number_key(F.col("number")))).alias("covered"))
+
+#: Words of a title that tell the kind of sitting, in the order in which they count; of a notice that cancels one; days beside a published one.
+SITTING_KINDS = {
+    "executive": "executive", "study": "study", "work session": "study", "workshop": "study", "pre session": "special",
+    "special": "special", "joint meeting": "special", "joint session": "special", "regular": "regular",
+}
+NOTICE, NEARBY_DAYS = "notice of cancellation", 1
+
+
+def _read(title: Column) -> Column:
+    return F.translate(F.coalesce(title, F.lit("")), DASHES, " " * len(DASHES))
+
+
+def meeting_type(title: Column) -> Column:
+    """[ST17] The kind of sitting that a title names; a title that names none is a regular session."""
+    return first_needle(_read(title), SITTING_KINDS, "regular")
+
+
+def names_type(title: Column) -> Column:
+    """Whether a title says its kind of sitting."""
+    return first_needle(_read(title), SITTING_KINDS).isNotNull()
+
+
+def cancelled_by(title: Column, templates: Column) -> Column:
+    """[ST18] Why a listing is cancelled: its title's word, else the first of its documents (names of templates) that is a notice; else null."""
+    word = F.nullif(F.regexp_extract(F.lower(title), rf"\b({'|'.join(CANCELLED)})\b", 1), F.lit(""))
+    notice = F.filter(templates, lambda t: F.lower(t).contains(NOTICE))
+    return F.coalesce(F.concat(F.lit("the title says "), word), F.when(F.size(notice) > 0, F.concat(F.lit("a document is a "), F.get(notice, F.lit(0)))))
+
+
+def continued_by(title: Column) -> Column:
+    """[ST18] Why a listing counts as continued: postponed and continued as whole words; else null."""
+    return F.concat(F.lit("the title says "), F.nullif(F.regexp_extract(F.lower(title), rf"\b({'|'.join(CONTINUED)})\b", 1), F.lit("")))
+
+
+def link_videos(videos: DataFrame, meetings: DataFrame) -> DataFrame:
+    """[JN16] video_id, meeting_id, reason (linked, no body, no day, none or several): the one meeting of the body that a video recorded.
+
+    The day is the one that the title names, else the published one. Meetings of that day come first; only if none fits, those of the days
+    beside it count too. A meeting fits if both titles name one kind of sitting; where a title that names none meets no regular session, every
+    meeting of the body in that time could be it. Two that could be it give none. Days are spread to keys: an equi join on body and day.
+
+    videos: video_id, body_id (null: not known), title, published; meetings: meeting_id, body_id, starts_at (ISO text: its day counts), title."""
+    day = F.coalesce(title_day(F.col("title")), F.try_to_date(F.substring(F.regexp_replace(F.trim("published"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), 1, 10), "yyyy-MM-dd"))
+    own = videos.select("video_id", "body_id", day.alias("own_day"), meeting_type(F.col("title")).alias("wanted"), names_type(F.col("title")).alias("strict"))
+    held = meetings.select("meeting_id", "body_id", F.try_to_date(F.substring("starts_at", 1, 10), "yyyy-MM-dd").alias("day"), meeting_type(F.col("title")).alias("kind"))
+    spread = own.where("body_id is not null and own_day is not null").withColumn("day", F.explode(F.sequence(F.date_sub("own_day", NEARBY_DAYS), F.date_add("own_day", NEARBY_DAYS))))
+    met = spread.join(held, ["body_id", "day"])
+    same, like = F.col("day") == F.col("own_day"), F.col("kind") == F.col("wanted")
+    n = lambda test: F.count_if(test)
+    least = lambda test: F.min(F.when(test, F.col("meeting_id")))
+    per = met.groupBy("video_id").agg(
+        n(same & like).alias("n1"), least(same & like).alias("m1"), n(same & ~F.col("strict")).alias("n2"), least(same & ~F.col("strict")).alias("m2"),
+        n(like).alias("n3"), least(like).alias("m3"), n(~F.col("strict")).alias("n4"), least(~F.col("strict")).alias("m4"),
+    )
+    # on the day: those alike, else (for a title without a kind) all; if that is nobody, the same over the days around
+    count = F.when(F.col("n1") > 0, F.col("n1")).when(F.col("n2") > 0, F.col("n2")).when(F.col("n3") > 0, F.col("n3")).otherwise(F.col("n4"))
+    chosen = F.when(F.col("n1") > 0, F.col("m1")).when(F.col("n2") > 0, F.col("m2")).when(F.col("n3") > 0, F.col("m3")).otherwise(F.col("m4"))
+    told = own.join(per, "video_id", "left").withColumn("n", F.coalesce(count, F.lit(0)))
+    reason = F.when(F.col("body_id").isNull(), "no body").when(F.col("own_day").isNull(), "no day").when(F.col("n") == 1, "linked").when(F.col("n") == 0, "none").otherwise("several")
+    return told.select("video_id", F.when(F.col("n") == 1, chosen).alias("meeting_id"), reason.alias("reason"))
+
+#: What titles of meetings carry in any area, and titles that carry it but are none.
+KEYWORDS = ["City Council", "Planning and Zoning", "Advisory Board", "Commission", "Authority", "Study Session", "Regular Session"]
+SKIP_TITLES = ["This Week in Council", "Neighborhood Meeting", "Esports"]
+
+
+def classified(titles: DataFrame, sources: DataFrame) -> DataFrame:
+    """[FLT6, UD6] title_id, is_meeting, keywords, skips, problem: which titles are meetings', by the lists of their own source.
+
+    A source's settings are JSON with meeting_keywords and meeting_skip_titles; a list it doesn't hold is the built-in one, and so are both where the
+    settings are no JSON object, which problem tells. Phrases match as whole words without case; a skip phrase outweighs keywords.
+    titles: title_id, source_id, title; sources: source_id, settings."""
+    text = F.trim(F.coalesce("settings", F.lit("")))
+    read = F.from_json(text, "meeting_keywords array<string>, meeting_skip_titles array<string>")
+    is_json = F.get_json_object(text, "$").isNotNull()
+    problem = F.when(text == "", None).when(~is_json, "the settings are not JSON").when(~F.startswith(text, F.lit("{")), "the settings are not an object")
+    # a phrase is compared as text: its signs are quoted, and the ends stand beside a sign of another kind than theirs
+    quoted = lambda phrases: F.transform(F.filter(phrases, lambda p: p.isNotNull() & (p != "")), lambda p: F.struct(p.alias("phrase"), F.concat(F.lit(r"(?iU)\b\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")).alias("pattern")))
+    seeds = lambda words: F.array(*map(F.lit, words))
+    own = lambda c, words: F.coalesce(F.when(problem.isNull(), F.col("read")[c]), seeds(words))
+    lists = sources.withColumn("read", read).select("source_id", problem.alias("problem"), quoted(own("meeting_keywords", KEYWORDS)).alias("k"), quoted(own("meeting_skip_titles", SKIP_TITLES)).alias("s"))
+    asked = titles.join(lists, "source_id", "left").withColumns({"k": F.coalesce("k", quoted(seeds(KEYWORDS))), "s": F.coalesce("s", quoted(seeds(SKIP_TITLES)))})
+    title = F.coalesce("title", F.lit(""))
+    found = lambda c: F.transform(F.filter(c, lambda p: F.regexp_like(title, p["pattern"])), lambda p: p["phrase"])
+    out = asked.select("title_id", "problem", found("k").alias("keywords"), found("s").alias("skips"))
+    return out.select("title_id", ((F.size("keywords") > 0) & (F.size("skips") == 0)).alias("is_meeting"), "keywords", "skips", "problem")

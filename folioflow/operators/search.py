@@ -95,14 +95,18 @@ def one_hit_per_mention(hits: DataFrame) -> DataFrame:
     return hits.groupBy("transcript_id").applyInPandas(choose, hits.schema)
 
 
-def search_lines(lines: DataFrame, q: str, limit: int) -> DataFrame:
+def search_lines(lines: DataFrame, q: str, limit: int, transcripts: DataFrame | None = None) -> DataFrame:
     """[FT10] The best windows of the transcripts for a question, one a mention: ranked, cut, then joined and thinned.
 
-    As in the system rebuilt here the cut to OVER_FETCH * limit comes before phrases are preferred. limit <= 0: nothing."""
+    As in the system rebuilt here the cut to OVER_FETCH * limit comes before phrases are preferred. transcripts: only these
+    transcript_ids count; they are chosen before the cut. limit <= 0: nothing."""
     terms = query_terms(q)
     index = windows(lines)
     key = ["transcript_id", "last_id", "span"]
-    ranked = bm25(index.select(*key, "text"), key, terms, OVER_FETCH * max(0, limit)) if terms else None
+    asked = index
+    if transcripts is not None:
+        asked = index.join(transcripts.select("transcript_id", F.lit(True).alias("_ok")).distinct(), "transcript_id", "left")
+    ranked = bm25(asked, key, terms, OVER_FETCH * max(0, limit), None if transcripts is None else F.coalesce("_ok", F.lit(False))) if terms else None
     if ranked is None:
         return index.where("false").select(*key, "first_pos", "last_pos", F.lit(False).alias("phrase"), F.lit(0.0).alias("score"))
     joined = index.join(F.broadcast(ranked), key)  # at most OVER_FETCH * limit rows
@@ -126,19 +130,23 @@ def citation(origin: str, id_: Column, text: Column, terms: list[str]) -> Column
     return F.struct(F.lit(origin).alias("origin"), id_.alias("id"), F.sha2(text, 256).alias("sha256"), snippet(text, terms).alias("excerpt"))
 
 
-def unified(lines: DataFrame, pages: DataFrame, q: str, top: int, lines_in: Column | None = None, pages_in: Column | None = None, pages_only: bool = False) -> DataFrame:
-    """[FT9, FT11, SL8] origin, place_of_kind, place, id, score, citation: the best lines, then the best pages (id, ..., text).
+def unified(lines: DataFrame, pages: DataFrame, q: str, limit: int, transcripts: DataFrame | None = None, pages_in: Column | None = None, pages_only: bool = False) -> DataFrame:
+    """[FT9, FT11, SL8] position, origin, transcript_id, last_id, span, id, score, citation: the best windows of lines, one a mention, then the best
+    pages, together cut at the limit.
 
-    Each kind is ranked over its own corpus and cut to `top` before texts are joined; pages_only leaves lines out."""
-    terms = query_terms(q)
-    found = []
-    for k, (origin, rows, where) in enumerate((("line", lines, lines_in), ("page", pages, pages_in))):
-        if (pages_only and origin == "line") or not terms:
-            continue
-        best = bm25(rows, ["id"], terms, top, where)
-        placed = best.withColumn("place", F.row_number().over(Window.orderBy("score", "id")))  # at most `top` rows
-        hits = rows.select("id", "text").join(F.broadcast(placed), "id")
-        found.append(hits.select(F.lit(origin).alias("origin"), F.lit(k).alias("place_of_kind"), "place", "id", "score", citation(origin, F.col("id"), F.col("text"), terms).alias("citation")))
-    if not found:
-        return unified(lines, pages, "none", 0, lines_in, pages_in, pages_only)
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    lines: transcript_id, id, start_ms, text; pages: id, ..., text. Each kind is ranked over its own corpus; filters (the transcripts that
+    count, a test of pages) come before each cut. pages_only leaves lines out. limit <= 0, or a question without words: nothing."""
+    terms, limit = query_terms(q), max(0, limit)
+    order = Window.orderBy("place_of_kind", "place")  # at most 2 * limit rows
+    spoken = search_lines(lines, q if not pages_only else "", limit, transcripts)
+    said = F.row_number().over(Window.orderBy(F.desc("phrase"), "span", "score", "transcript_id", "first_pos"))
+    key = ["transcript_id", "last_id", "span"]
+    heard = windows(lines).select(*key, "text").join(F.broadcast(spoken.withColumn("place", said)), key)
+    cited = citation("line", F.concat_ws(":", *key), F.col("text"), terms or [""])
+    found = heard.select(F.lit(0).alias("place_of_kind"), "place", F.lit("line").alias("origin"), *key, F.lit(None).cast(pages.schema["id"].dataType).alias("id"), "score", cited.alias("citation"))
+    best = bm25(pages, ["id"], terms, limit, pages_in)
+    placed = best.withColumn("place", F.row_number().over(Window.orderBy("score", "id")))
+    read = pages.select("id", "text").join(F.broadcast(placed), "id")
+    blank = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in key]
+    hits = found.unionByName(read.select(F.lit(1).alias("place_of_kind"), "place", F.lit("page").alias("origin"), *blank, "id", "score", citation("page", F.col("id").cast("string"), F.col("text"), terms or [""]).alias("citation")))
+    return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).drop("place_of_kind", "place").select("position", "origin", *key, "id", "score", "citation")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.times import next_midnight
+from folioflow.operators.closure import reached
+from folioflow.operators.placing import running_total
 
 HOUR = 3_600_000_000
 
@@ -63,33 +65,18 @@ def not_superseded(records: DataFrame, revisions: DataFrame, id_: str = "id") ->
     return records.join(revisions.select(F.col("previous_id").alias(id_)), id_, "left_anti")
 
 
-def revision_group(edges: DataFrame, start: list[int], at_once: int = 20) -> DataFrame:
-    """[SO2, SO8] All ids of the chain that `start` is in: the frontier grows by anti joins until nothing is new.
-
-    Lineage is cut by a checkpoint in each round where the session names a folder for it; else rounds over `at_once` raise,
-    so a chain is never returned cut short."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("id").alias("a"), F.col("previous_id").alias("b")).union(edges.select("previous_id", "id"))
-    seen = frontier = spark.createDataFrame([(i,) for i in start], "id long")
-    cuts = spark.sparkContext.getCheckpointDir() is not None
-    rounds = 0
-    while True:
-        frontier = both.join(frontier, both.a == frontier.id).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = frontier.checkpoint() if cuts else frontier
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        seen = seen.checkpoint() if cuts else seen
-        rounds += 1
-        if rounds >= at_once and not cuts:
-            raise RuntimeError("a long chain needs a checkpoint folder (spark.checkpoint.dir)")
+def revision_group(edges: DataFrame, start: list[int]) -> DataFrame:
+    """[SO2, SO8] All ids of the chains that `start` is in, by the components of all chains: rounds grow with the logarithm of the longest."""
+    ids = edges.sparkSession.createDataFrame([(i,) for i in start], "node long")
+    return reached(edges.select(F.col("id").alias("a"), F.col("previous_id").alias("b")), ids).select(F.col("node").alias("id"))
 
 
 def quota(uses: DataFrame, at: str, then: list[str], limit: int, zone: str = "America/Los_Angeles") -> DataFrame:
-    """[DT9, DT19] then, used (so far in the local day), blocked, until (seconds of the midnight at which a block ends)."""
-    day = Window.partitionBy(F.to_date(F.from_utc_timestamp(at, zone))).orderBy(at, *then)
-    used = F.count("*").over(day.rowsBetween(Window.unboundedPreceding, 0))
-    out = uses.select(*then, at, used.alias("used")).withColumn("blocked", F.col("used") > limit)
+    """[DT9, DT19] then, used (so far in the local day), blocked, until (seconds of the midnight at which a block ends).
+
+    The count is a running total by ranges, so one day's uses may be any number."""
+    dated = uses.select(*then, at, F.to_date(F.from_utc_timestamp(at, zone)).alias("_day"))
+    out = running_total(dated, ["_day"], [at, *then], F.lit(1).cast("long"), "used").withColumn("blocked", F.col("used") > limit)
     return out.select(*then, "used", "blocked", F.when(F.col("blocked"), F.unix_seconds(next_midnight(F.col(at), zone))).alias("until"))
 
 

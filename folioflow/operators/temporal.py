@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def with_ends(items: DataFrame, key: str, start: str, last_end: Column, then: Sequence[str] = ()) -> DataFrame:
@@ -20,19 +23,46 @@ def latest_range(points: DataFrame, ranges: DataFrame, key: str, at: str, start:
     """[JN5, CX2] points with the id of the half-open range that holds them; of several the one that starts last, then the
     smallest id. Points and range starts are sorted together in each key: as many rows as both tables have, where a theta
     join would make one for each pair. Only points at which the range that started last has ended, but an earlier one hasn't
-    (nested ranges), are joined with their key's ranges by the bounds. Equal points each give a row."""
+    (nested ranges), are swept in order of time with the ranges that are open then. Equal points each give a row; without a key there's no range."""
+    row_type = points.select(F.struct(*points.columns).alias("_row")).schema["_row"].dataType
     tagged = points.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_p"), F.struct(*points.columns).alias("_row"), F.lit(None).cast("struct<start:bigint,end:bigint,id:bigint>").alias("_r"))
     opened = F.struct(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(id_).cast("long").alias("id"))
-    starts = ranges.where(F.col(end) > F.col(start)).select(F.col(key).alias("_k"), F.col(start).alias("_t"), F.lit(0).alias("_p"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), opened.alias("_r"))
+    usable = ranges.where((F.col(end) > F.col(start)) & F.col(key).isNotNull())
+    starts = usable.select(F.col(key).alias("_k"), F.col(start).alias("_t"), F.lit(0).alias("_p"), F.lit(None).cast(row_type).alias("_row"), opened.alias("_r"))
     order = Window.partitionBy("_k").orderBy("_t", "_p", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0)
     seen = tagged.unionByName(starts).withColumns({"_last": F.last("_r", ignorenulls=True).over(order), "_until": F.max("_r.end").over(order)}).where("_p = 1")
     sure = (F.col("_t") < F.col("_last.end")) | F.coalesce(F.col("_t") >= F.col("_until"), F.lit(True))
-    flat = seen.select("_k", "_t", "_row", F.when(F.col("_t") < F.col("_last.end"), F.col("_last.id")).alias("range_id"), F.coalesce(sure, F.lit(True)).alias("_sure"))
-    nested = flat.where("not _sure").groupBy("_k", "_t", "_row").agg(F.count("*").alias("_n"))
-    later = nested.alias("u").join(ranges.alias("r"), (F.col("u._k") == F.col(f"r.{key}")) & (F.col("u._t") >= F.col(f"r.{start}")) & (F.col("u._t") < F.col(f"r.{end}")), "left")
-    best = later.groupBy("u._row", "u._n").agg(F.min_by(F.col(f"r.{id_}"), F.struct(-F.col(f"r.{start}"), F.col(f"r.{id_}"))).alias("range_id"))
-    each = best.select("_row", "range_id", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_i"))
-    return flat.where("_sure").select("_row.*", "range_id").unionByName(each.select("_row.*", "range_id"))
+    flat = seen.select("_k", "_t", "_p", "_row", "_r", F.when(F.col("_t") < F.col("_last.end"), F.col("_last.id")).alias("range_id"), F.coalesce(sure, F.lit(True)).alias("_sure"))
+    nested = flat.where("not _sure").drop("range_id", "_sure")
+    both = nested.unionByName(starts.join(nested.select("_k").distinct(), "_k", "left_semi"))
+    # dealt by a hash of its own: a union of tables that lie by the key already counts as lying by it, though its tasks hold parts only
+    swept = both.repartition(F.xxhash64("_k")).sortWithinPartitions("_k", "_t", "_p").mapInArrow(_sweep, StructType([StructField("_row", row_type), StructField("range_id", LongType())]))
+    return flat.where("_sure").select("_row.*", "range_id").unionByName(swept.select("_row.*", "range_id"))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each point, in order of key and time, the open range that started last. Holds the ranges that are open, and at most as many that have
+    ended beneath them, whatever a key has of rows."""
+    key, by_start, ends = None, [], []
+    for batch in batches:
+        at, ids = [], []
+        for i, (k, t, is_point, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "_t", "_p", "_r")))):
+            if k != key:
+                key, by_start, ends = k, [], []
+            while ends and ends[0] <= t:
+                heapq.heappop(ends)
+            if is_point:
+                while by_start and by_start[0][2] <= t:
+                    heapq.heappop(by_start)
+                at.append(i)
+                ids.append(by_start[0][1] if by_start else None)
+            else:
+                heapq.heappush(by_start, (-r["start"], r["id"], r["end"]))
+                heapq.heappush(ends, r["end"])
+            if len(by_start) > 2 * len(ends) + 64:
+                by_start = [x for x in by_start if x[2] > t]
+                heapq.heapify(by_start)
+        yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(ids, pa.int64())], ["_row", "range_id"])
 
 
 def held_on(seats: DataFrame, on: Column) -> Column:

@@ -195,12 +195,12 @@ def jobs_to_start(spark: SparkSession, d: str) -> DataFrame:
     return state.due(jobs, now).select("id", F.lit("due").alias("why"), "attempts").union(late.select("id", F.lit("stale"), "attempts"))
 
 
-@R.add("""WITH j AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' ELSE 'done' END AS state, o_orderpriority AS kind, o_custkey % 50 AS payload FROM orders WHERE o_totalprice > 300000)
-SELECT DISTINCT kind, payload FROM (SELECT o_orderpriority AS kind, o_custkey % 50 AS payload FROM orders) w
+@R.add("""WITH j AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' ELSE 'done' END AS state, o_orderpriority AS kind, o_custkey AS payload FROM orders WHERE o_totalprice > 300000)
+SELECT DISTINCT kind, payload FROM (SELECT o_orderpriority AS kind, o_custkey AS payload FROM orders) w
 WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.kind = w.kind AND j.payload = w.payload AND j.state IN ('queued', 'running'))""")
 def requests_to_add(spark: SparkSession, d: str) -> DataFrame:
     """[CX19] Requests without an active job of the same kind and payload."""
-    jobs = _jobs(spark, d)
+    jobs = _jobs(spark, d).withColumn("payload", F.col("customer"))
     return state.new_requests(jobs.select("kind", "payload").distinct(), jobs.where("price > 300000"))
 
 
@@ -230,4 +230,4 @@ def video_addresses(spark: SparkSession, d: str) -> DataFrame:
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
     state_ = F.when(k % 3 == 0, "queued").when(k % 3 == 1, "running").otherwise("done")
-    return read(spark, d, "orders").select(k.alias("id"), state_.alias("state"), F.col("o_orderpriority").alias("kind"), (F.col("o_custkey") % 50).alias("payload"), F.lit(0).alias("attempts"), F.when(k % 2 == 0, at).alias("run_after"), at.alias("heartbeat"), F.col("o_totalprice").alias("price"))
+    return read(spark, d, "orders").select(k.alias("id"), state_.alias("state"), F.col("o_orderpriority").alias("kind"), (F.col("o_custkey") % 50).alias("payload"), F.lit(0).alias("attempts"), F.when(k % 2 == 0, at).alias("run_after"), at.alias("heartbeat"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))

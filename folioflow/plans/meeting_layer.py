@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import references, text
 from folioflow.operators import alignment, grounding, minutes, search, speakers
+from folioflow.plans import text_layer
 from folioflow.plans.common import Registry, read
 from folioflow.sources import agendas, captions, listings, tables
 
@@ -93,7 +94,7 @@ def portal_listing(spark: SparkSession, d: str) -> DataFrame:
     doc = F.struct(F.col("l_linenumber").alias("id"), F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("templateId"))
     docs = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(doc).alias("documentList"))
     entry = F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("dateTime"), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("  ")).alias("title"), "documentList")
-    lists = read(spark, d, "orders").join(docs, "o_orderkey").groupBy((F.col("o_custkey") % 100).alias("page")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    lists = read(spark, d, "orders").join(docs, "o_orderkey").groupBy(F.floor(F.col("o_orderkey") / 500).alias("page")).agg(F.to_json(F.collect_list(entry)).alias("value"))
     both = lists.select(F.lit(0).alias("list_no"), "value").unionByName(lists.select(F.lit(1).alias("list_no"), F.replace("value", F.lit('"title":"'), F.lit('"title":"again')).alias("value")))
     found = listings.portal_meetings(both)
     return found.select("meeting_id", "title", F.size("documents").cast("long").alias("n"), F.aggregate(F.transform("documents", lambda x: x["templateId"]), F.lit(0).cast("long"), lambda a, b: a + b).alias("templates"))
@@ -114,24 +115,24 @@ def row_by_key(spark: SparkSession, d: str) -> DataFrame:
     return tables.row_of(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0]).select("o_orderkey", "o_totalprice")
 
 
-_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-_RANKED = f"""t AS (SELECT kind, id, area, text, {_TOKENS.format('text')} AS w FROM src), c AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: x = 'to')) AS c0, len(list_filter(w, lambda x: x = 'on')) AS c1 FROM t),
-s AS (SELECT kind, count(*) AS docs, avg(n) AS mean, count(*) FILTER (c0 > 0) AS d0, count(*) FILTER (c1 > 0) AS d1 FROM c GROUP BY kind),
-r AS (SELECT c.*, round(-greatest(1e-6, ln((docs - d0 + 0.5) / (d0 + 0.5))) * c0 * 2.2 / (c0 + 1.2 * (0.25 + 0.75 * n / mean)) - greatest(1e-6, ln((docs - d1 + 0.5) / (d1 + 0.5))) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
- FROM c JOIN s ON s.kind = c.kind WHERE c0 > 0 AND c1 > 0 AND area <> 'system' AND area <> 'de'),
-k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score, id) AS place FROM r)"""
+_PAGES = """pt AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents), pc AS (SELECT doc_id, text, lang, len(w) AS n,
+  len(list_filter(w, lambda x: x = 'to')) AS c0, len(list_filter(w, lambda x: x = 'on')) AS c1 FROM pt), ps AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (c0 > 0) AS d0, count(*) FILTER (c1 > 0) AS d1 FROM pc),
+pr AS (SELECT doc_id, text, round(-greatest(1e-6, ln((docs - d0 + 0.5) / (d0 + 0.5))) * c0 * 2.2 / (c0 + 1.2 * (0.25 + 0.75 * n / mean)) - greatest(1e-6, ln((docs - d1 + 0.5) / (d1 + 0.5))) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
+  FROM pc, ps WHERE c0 > 0 AND c1 > 0 AND lang <> 'de' ORDER BY score, doc_id LIMIT 40)"""
 
 
-@R.add(f"""WITH src AS (SELECT 0 AS kind, conv_id * 1000 + turn AS id, role AS area, text FROM conversations UNION ALL SELECT 1, doc_id, lang, text FROM documents), {_RANKED}
-SELECT row_number() OVER (ORDER BY kind, place) AS position, CASE kind WHEN 0 THEN 'line' ELSE 'page' END AS origin, id, sha256(text) AS sha256 FROM k WHERE place <= 20 ORDER BY kind, place LIMIT 30""")
+@R.add(f"""WITH RECURSIVE {text_layer.line_search_sql(["to", "on"], 40, "transcript_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")}, {_PAGES},
+both_ AS (SELECT 0 AS kind, row_number() OVER (ORDER BY phrase DESC, span, score, transcript_id, first_pos) AS place, transcript_id, last_id, CAST(span AS INT) AS span, CAST(NULL AS BIGINT) AS id, score, text FROM hits
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY score, doc_id), NULL, NULL, NULL, doc_id, score, text FROM pr)
+SELECT row_number() OVER (ORDER BY kind, place) AS position, CASE kind WHEN 0 THEN 'line' ELSE 'page' END AS origin, transcript_id, last_id, span, id, score, sha256(text) AS sha256 FROM both_ ORDER BY kind, place LIMIT 40""")
 def unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """[FT9, FT11, FT12, SL8] Lines' hits, then pages' hits, cut to the limit; filters come before each ranking's cut."""
-    lines = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("area"), "text")
+    """[FT9, FT11, FT12, SL8] Windows of lines, one a mention, then pages, cut at the limit together; filters come before each ranking's cut."""
+    c = read(spark, d, "conversations")
+    lines = c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("id"), (F.col("turn") * 1000).alias("start_ms"), "text")
+    area = lines.select("transcript_id").distinct().join(c.where("role = 'system'").select(F.col("conv_id").alias("transcript_id")), "transcript_id", "left_anti")
     pages = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("area"), "text")
-    hits = search.unified(lines, pages, "to on", 20, F.col("area") != "system", F.col("area") != "de")
-    best = hits.orderBy("place_of_kind", "place").limit(30)
-    position = F.row_number().over(Window.orderBy("place_of_kind", "place"))  # of the 30 rows
-    return best.select(position.cast("long").alias("position"), "origin", "id", "citation.sha256")
+    hits = search.unified(lines, pages, "to on", 40, area, F.col("area") != "de")
+    return hits.select(F.col("position").cast("long").alias("position"), "origin", "transcript_id", "last_id", "span", "id", "score", "citation.sha256")
 
 
 @R.add("""WITH o AS (SELECT o_orderkey, o_custkey, 1 + o_custkey % 7 AS y, o_orderkey % 3 AS n, o_orderkey % 4 AS form FROM orders)

@@ -22,6 +22,24 @@ def _tokens(c: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
+def line_search_sql(terms: list[str], limit: int, where: str = "true") -> str:
+    """Common table expressions up to hits: BM25 over all windows, the cut, then in each transcript one hit a mention, taken greedily in order."""
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS c{i}" for i, t in enumerate(terms))
+    part = " ".join(f"- greatest(1e-6, ln((docs - d{i} + 0.5) / (d{i} + 0.5))) * c{i} * 2.2 / (c{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(terms)))
+    return f"""{_WINDOWS}, wt AS (SELECT *, {_tokens("text")} AS w FROM windows), wc AS (SELECT *, len(w) AS n, {counts} FROM wt),
+ws AS (SELECT count(*) AS docs, avg(n) AS mean, {", ".join(f"count(*) FILTER (c{i} > 0) AS d{i}" for i in range(len(terms)))} FROM wc),
+wr AS (SELECT transcript_id, last_id, span, first_pos, last_pos, text, contains(' ' || array_to_string(w, ' ') || ' ', ' {" ".join(terms)} ') AS phrase, round(0.0 {part}, 6) AS score
+  FROM wc, ws WHERE {" AND ".join(f"c{i} > 0" for i in range(len(terms)))} AND {where} ORDER BY score, transcript_id, last_id, span LIMIT {6 * limit}),
+wk AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY phrase DESC, span, score, first_pos) AS place FROM wr),
+chosen AS (SELECT DISTINCT transcript_id, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS taken FROM wk
+  UNION ALL SELECT c.transcript_id, min(k.place), list_append(any_value(c.taken), {{'a': arg_min(k.first_pos, k.place), 'b': arg_min(k.last_pos, k.place)}})
+  FROM chosen c JOIN wk k ON k.transcript_id = c.transcript_id AND k.place > c.place AND len(list_filter(c.taken, lambda t: NOT (k.last_pos < t.a OR t.b < k.first_pos))) = 0 GROUP BY c.transcript_id),
+hits AS (SELECT wk.* FROM chosen JOIN wk ON wk.transcript_id = chosen.transcript_id AND wk.place = chosen.place ORDER BY phrase DESC, span, score, wk.transcript_id, first_pos LIMIT {limit})"""
+
+
+LINE_HITS = "SELECT transcript_id, last_id, CAST(span AS INT) AS span, first_pos, last_pos, phrase, score FROM hits"
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("id"), (F.col("turn") * 1000).alias("start_ms"), "text")
 
@@ -56,7 +74,7 @@ def bm25_topk_docs(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"], ["with", "from"], 50)
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {line_search_sql(['of', 'the'], 50)} {LINE_HITS}")
 def search_one_hit_per_mention(spark: SparkSession, d: str) -> DataFrame:
     """[FT10, SL7, JN3] Best windows for a question, one a mention, tightest and phrase first."""
     return search.search_lines(_lines(spark, d), "of the", 50)

@@ -23,22 +23,22 @@ PUBLISHED_TRACK, OWN_TRACKS = "en", ["en-orig", "en"]
 REVISED = ["last_modified", "modified"]
 
 
-def _first(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def _first(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """The first row of each key."""
-    place = Window.partitionBy(key).orderBy(*order)
+    place = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
 
 
-def portal_meetings(lists: DataFrame) -> DataFrame:
-    """[SRC7] meeting_id, title, starts_at, video_url, documents of portal answers (list_no, value: a JSON array of meetings).
+def portal_meetings(lists: DataFrame, by: list[str] = ()) -> DataFrame:
+    """[SRC7] by, meeting_id, title, starts_at, video_url, documents of portal answers (by, list_no, value: a JSON array of meetings).
 
-    Entries without an id or a time are left out; of entries with one id the first counts, by list_no and place.
+    by: columns that tell portals apart. Entries without an id or a time are left out; of entries with one id the first counts, by list_no and place.
     documents: array<struct<id, templateId, compileOutputType, templateName, publishDate>>, those with a template."""
-    entry = lists.select("list_no", F.posexplode(F.from_json("value", MEETINGS)).alias("place", "m"))
+    entry = lists.select(*by, "list_no", F.posexplode(F.from_json("value", MEETINGS)).alias("place", "m"))
     timed = entry.where(F.col("m.id").isNotNull() & F.try_to_timestamp("m.dateTime").isNotNull())
     documents = F.filter(F.coalesce("m.documentList", F.array()), lambda d: d["templateId"].isNotNull())
-    out = timed.select("list_no", "place", F.col("m.id").alias("meeting_id"), collapse_space(F.coalesce("m.title", F.lit(""))).alias("title"), F.col("m.dateTime").alias("starts_at"), F.nullif("m.videoUrl", F.lit("")).alias("video_url"), documents.alias("documents"))
-    return _first(out, "meeting_id", "list_no", "place").drop("list_no", "place")
+    out = timed.select(*by, "list_no", "place", F.col("m.id").alias("meeting_id"), collapse_space(F.coalesce("m.title", F.lit(""))).alias("title"), F.col("m.dateTime").alias("starts_at"), F.nullif("m.videoUrl", F.lit("")).alias("video_url"), documents.alias("documents"))
+    return _first(out, [*by, "meeting_id"], "list_no", "place").drop("list_no", "place")
 
 
 def portal_documents(meetings: DataFrame) -> DataFrame:
