@@ -9,15 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-#: The forms of a record's number, in the order in which they are tried; the two kinds with their letters; and how
-#: far before a number its kind is looked for.
-FORMS = [
-    r"(?P<letter>\b[OR])\s*-\s*(?P<year>20\d{2})\s*-\s*(?P<number>\d{1,3})\b",
-    r"(?P<letter>\b[OR])\s*(?P<year>20\d{2})(?P<number>\d{2})\b",
-    r"\b(?P<year>20\s\d{2})\s*-\s*(?P<number>\d{1,3})\b",
-    r"\b(?P<year>20\d{2})\s*-\s*(?P<number>\d{1,3})\b",
-    r"\b(?P<year>20\d{2})(?P<number>\d{2})\b",
-]
+#: Fixed value: the forms of a record's number, in the order in which they are tried.
+RECORD_NUMBER = re.compile(
+    r"(?P<letter1>\b[OR])\s*-\s*(?P<year1>20\d{2})\s*-\s*(?P<number1>\d{1,3})\b"
+    r"|(?P<letter2>\b[OR])\s*(?P<year2>20\d{2})(?P<number2>\d{2})\b"
+    r"|\b(?P<year3>20\s\d{2})\s*-\s*(?P<number3>\d{1,3})\b"
+    r"|\b(?P<year4>20\d{2})\s*-\s*(?P<number4>\d{1,3})\b"
+    r"|\b(?P<year5>20\d{2})(?P<number5>\d{2})\b"
+)
+#: The two kinds with their letters; and how far before a number its kind is looked for.
 KINDS = {"O": "ordinance", "R": "resolution"}
 KIND_WORDS, KIND_SIGNS = 4, 80
 #: Number words that name an item; the form of a reference; the signs around a word that don't count.
@@ -29,13 +29,11 @@ SIGNS = ".,;:!?\"'()[]"
 IDENTIFIER = StructType().add("kind", StringType()).add("year", IntegerType()).add("number", IntegerType()).add("text", StringType()).add("start", IntegerType()).add("letter", StringType())
 REFERENCE = StructType().add("parts", ArrayType(StringType())).add("text", StringType()).add("start", IntegerType())
 
-_NAMED = re.compile("|".join(re.sub(r"\?P<(\w+)>", rf"?P<\g<1>{k}>", form) for k, form in enumerate(FORMS)))
-
 
 def _identifiers(text: str) -> list[dict]:
     out = []
-    for m in _NAMED.finditer(text):
-        got = {name.rstrip("01234"): value for name, value in m.groupdict().items() if value is not None}
+    for m in RECORD_NUMBER.finditer(text):
+        got = {name[:-1]: value for name, value in m.groupdict().items() if value is not None}
         kind = KINDS.get(got.get("letter", ""))
         if kind is None:
             before = re.findall("[A-Za-z']+", text[max(0, m.start() - KIND_SIGNS) : m.start()])[-KIND_WORDS:]

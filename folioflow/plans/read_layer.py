@@ -315,13 +315,13 @@ def hierarchy_tree(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "region").join(per, "r_regionkey", "left").select("r_name", "children")
 
 
-@R.add("""SELECT user_id, event_type, CAST(ts - INTERVAL 6 HOUR AS DATE)::VARCHAR AS day, min(event_id) AS first_id FROM events
-          WHERE strftime(ts - INTERVAL 6 HOUR, '%H:%M') >= '05:30' GROUP BY ALL""")
+@R.add("""WITH l AS (SELECT *, timezone('America/Denver', timezone('UTC', ts)) AS here FROM events)
+          SELECT user_id, event_type, CAST(here AS DATE)::VARCHAR AS day, min(event_id) AS first_id FROM l WHERE strftime(here, '%H:%M') >= '05:30' GROUP BY ALL""")
 def daily_once_per_subject(spark: SparkSession, d: str) -> DataFrame:
     """[SM6, DT8] One run a subject, task and local day, at the first tick after the daily time."""
     from folioflow.functions.times import due_day
 
-    e = read(spark, d, "events").select("user_id", "event_type", due_day(F.col("ts").cast("timestamp"), "-06:00", "05:30").cast("string").alias("day"), "event_id")
+    e = read(spark, d, "events").select("user_id", "event_type", due_day(F.col("ts").cast("timestamp"), "America/Denver", "05:30").cast("string").alias("day"), "event_id")
     return e.where("day is not null").groupBy("user_id", "event_type", "day").agg(F.min("event_id").alias("first_id"))
 
 

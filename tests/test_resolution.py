@@ -33,7 +33,7 @@ def fold(stored, observed):
     return sorted(((r["id"], r["seen"], *[r[c] for c in COLUMNS]) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_meetings_resolve_as_one_after_the_other(spark, seed):
     rng = random.Random(seed)
 
@@ -101,13 +101,9 @@ def test_videos_are_adopted_as_one_after_the_other(spark, seed):
 # chains
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_components_of_a_long_path(spark, monkeypatch, shuffled):
+def test_components_of_a_long_path(spark, monkeypatch):
     n = 100_000
-    ids = list(range(n))
-    if shuffled:
-        random.Random(3).shuffle(ids)
-    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rounds = []
     grand = closure._grand
     monkeypatch.setattr(closure, "_grand", lambda p, c, k: rounds.append(k) or grand(p, c, k))
