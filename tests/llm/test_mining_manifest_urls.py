@@ -16,10 +16,9 @@ from folioflow.llm.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 @pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_merkle", "op13_url_filter"])
-def test_queries_match_sql(spark, name, sf):
-    assert spark_bag(QUERIES[name](spark, sf)) == sql_bag(views(sf), ORACLES[name])
+def test_queries_match_sql(spark, name):
+    assert spark_bag(QUERIES[name](spark, SF)) == sql_bag(views(SF), ORACLES[name])
 
 
 # hard negatives
@@ -46,8 +45,7 @@ def vectors(spark, rows):
     return df.withColumns({c: F.lit("x") for c in ("rid", "cell", "q", "is_row", "rank", "score", "n")})
 
 
-@pytest.mark.parametrize("scale", [1.0, 3e6, 1e30])
-@pytest.mark.parametrize("block", [7, 4096])
+@pytest.mark.parametrize("block, scale", [(7, 1.0), (4096, 3e6), (7, 1e30)])
 def test_hard_negatives_match_brute_force(spark, monkeypatch, block, scale):
     monkeypatch.setattr(hard_negatives, "BLOCK", block)
     monkeypatch.setattr(hard_negatives, "GROUP", 5 if block == 7 else 1 << 15)
@@ -132,7 +130,7 @@ def test_manifest_matches_brute_force(spark, monkeypatch, tmp_path, height):
     assert sorted((tuple(r) for r in got.collect()), key=str) == manifest(rows)
 
 
-@pytest.mark.parametrize("n", [0, 1, 8, 9, 64, 65])
+@pytest.mark.parametrize("n", [0, 1, 9, 65])
 def test_manifest_of_few_rows(spark, tmp_path, n):
     rows = [(i, "s", "en", 1, f"T{i}") for i in range(n)]
     got = merkle.op12_merkle(spark, documents(spark, tmp_path, rows))
