@@ -137,11 +137,14 @@ def _excepted(clause: str | None, section: str) -> dict:
 
 
 @F.pandas_udf(EXCEPTED)
-def excepted_items(clauses: pd.Series, sections: pd.Series) -> pd.DataFrame:
+def _excepted_items(clauses: pd.Series, sections: pd.Series) -> pd.DataFrame:
     """[ST12] Item keys that an exception clause (null: none) names; a clause that names nothing readable is told apart from none."""
     return pd.DataFrame([_excepted(c, s) for c, s in zip(clauses, sections)], columns=["readable", "keys"])
 
 
+excepted_items = _excepted_items.asNondeterministic()  # so that a filter on it doesn't run it a second time
+
+
 def exception_clause(text: Column) -> Column:
     """What stands after the first word of exception; null if there is none."""
     at = F.regexp_instr(text, F.lit(EXCEPTION))
@@ -151,14 +154,15 @@ def exception_clause(text: Column) -> Column:
 def consent_coverage(motions: DataFrame, items: DataFrame) -> DataFrame:
     """[ST12, JN18] meeting_id, ordinal, item_no, covered for motions on the consent agenda: the section's items, less those taken out.
 
-    A motion whose exceptions can't be read covers nothing and gives no row. motions: meeting_id, ordinal, text."""
+    A motion whose exceptions can't be read covers nothing and gives no row. motions: meeting_id, ordinal, text. Items and sections are merged
+    with motions by meeting: Spark takes exploded rows for as few as those they come from, and would broadcast them."""
     section = items.where(F.lower(F.trim("title")).startswith("consent agenda")).groupBy("meeting_id").agg(F.min_by("number", "item_no").alias("section"))
-    asked = motions.where(F.col("text").rlike(r"(?i)\bconsent\s+agenda\b")).join(section, "meeting_id")
+    asked = motions.where(F.col("text").rlike(r"(?i)\bconsent\s+agenda\b")).join(section.hint("merge"), "meeting_id")
     read = asked.withColumn("x", excepted_items(exception_clause(F.col("text")), F.col("section"))).where("x.readable")
     base, own = F.regexp_replace("section", r"\.+$", ""), F.regexp_replace("number", r"\.+$", "")
     rest = F.substr(own, F.length(base) + 1)
     under = F.startswith(own, base) & rest.rlike(r"^(?:\..*|[A-Za-z])$")
-    inside = read.join(items.select("meeting_id", "item_no", "number"), "meeting_id").where(under)
+    inside = read.join(items.select("meeting_id", "item_no", "number").hint("merge"), "meeting_id").where(under)
     return inside.select("meeting_id", "ordinal", "item_no", (~F.array_contains("x.keys", number_key(F.col("number")))).alias("covered"))
 
 #: Words of a title that tell the kind of sitting, in the order in which they count; of a notice that cancels one; days beside a published one.
