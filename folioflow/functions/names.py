@@ -70,20 +70,36 @@ def known_variants(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.array_join(words, " "), last), F.filter(F.split(last, "-"), lambda w: w != "")))
 
 
+def _sounding(names: DataFrame, id_: str, variants: Column) -> DataFrame:
+    """body_id, id, keys: the phonetic keys of all variants, sorted; a key holds no blank."""
+    each = names.select("body_id", id_, F.explode(variants).alias("v")).select("body_id", id_, phonetic_key(F.col("v")).alias("k"))
+    return each.groupBy("body_id", id_).agg(F.array_join(F.array_sort(F.collect_set("k")), " ").alias("keys"))
+
+
+def _keys_of(names: DataFrame, whole: str, key: str) -> DataFrame:
+    """body_id, whole, key, sound: each set of keys of a body once, by its keys."""
+    each = names.select("body_id", F.col("keys").alias(whole)).distinct().select("body_id", whole, F.explode(F.split(whole, " ", -1)).alias(key))
+    return each.withColumn("sound", initial_class(F.col(key)))
+
+
 def match_names(spoken: DataFrame, officials: DataFrame) -> DataFrame:
     """[JN17] spoken_id, spoken, person_id, score, runner_up, passed: the official whose name sounds most like each spoken name.
 
     Variants meet only where they begin with the same sound and both are of one body (an equi join, so no pair of bodies is
-    formed), equal pairs of keys are scored once, and the best and second are picked by aggregates."""
-    said = spoken.select("body_id", "spoken_id", "spoken", F.explode(spoken_variants(F.col("spoken"))).alias("v"))
-    said = said.select("body_id", "spoken_id", "spoken", initial_class(F.col("v")).alias("sound"), phonetic_key(F.col("v")).alias("ks")).distinct()
-    known = officials.select("body_id", "person_id", F.explode(known_variants(F.col("name"))).alias("v"))
-    known = known.select("body_id", "person_id", initial_class(F.col("v")).alias("sound"), phonetic_key(F.col("v")).alias("kk")).distinct()
-    pairs = said.join(known, ["body_id", "sound"])
+    formed). A name sounds as its set of keys does: each set of a body is asked once, officials of one set go on as the two first of
+    them, equal pairs of keys are scored once, and the best and second are picked by aggregates."""
+    said = _sounding(spoken, "spoken_id", spoken_variants(F.col("spoken")))
+    known = _sounding(officials, "person_id", known_variants(F.col("name")))
+    first = Window.partitionBy("body_id", "keys").orderBy("person_id")
+    known_ids = known.withColumn("r", F.row_number().over(first)).where("r <= 2").select("body_id", F.col("keys").alias("known"), "person_id")
+    ks, kk = _keys_of(said, "asked", "ks"), _keys_of(known, "known", "kk")
+    pairs = ks.join(kk.hint("merge"), ["body_id", "sound"]).select("body_id", "asked", "known", "ks", "kk")
     scored = pairs.select("ks", "kk").distinct().withColumn("score", jaro_winkler("ks", "kk"))
-    best = pairs.join(scored, ["ks", "kk"]).groupBy("body_id", "spoken_id", "person_id").agg(F.max("score").alias("score"))
-    rank = Window.partitionBy("body_id", "spoken_id").orderBy(F.desc("score"), "person_id")
+    alike = pairs.join(scored, ["ks", "kk"]).groupBy("body_id", "asked", "known").agg(F.max("score").alias("score"))
+    best = alike.join(known_ids.hint("merge"), ["body_id", "known"])
+    rank = Window.partitionBy("body_id", "asked").orderBy(F.desc("score"), "person_id")
     two = best.withColumn("r", F.row_number().over(rank)).where("r <= 2")
-    top = two.groupBy("body_id", "spoken_id").agg(F.max(F.when(F.col("r") == 1, F.col("person_id"))).alias("person_id"), F.round(F.max("score"), 4).alias("score"), F.round(F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)), 4).alias("runner_up"))
+    top = two.groupBy("body_id", "asked").agg(F.max(F.when(F.col("r") == 1, F.col("person_id"))).alias("person_id"), F.round(F.max("score"), 4).alias("score"), F.round(F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)), 4).alias("runner_up"))
+    top = said.withColumnRenamed("keys", "asked").join(top.hint("merge"), ["body_id", "asked"]).drop("asked")
     passed = (F.col("score") >= LEAST_SCORE) & (F.col("score") - F.col("runner_up") >= LEAST_LEAD)
-    return spoken.join(top, ["body_id", "spoken_id"], "left").select("body_id", "spoken_id", "spoken", "person_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    return spoken.join(top.hint("merge"), ["body_id", "spoken_id"], "left").select("body_id", "spoken_id", "spoken", "person_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"), F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioflow.functions import names
 from folioflow.operators import portal
 
 
@@ -17,3 +18,12 @@ def test_consent_items_are_not_broadcast(spark, tmp_path):
     got = portal.consent_coverage(motions, items)
     assert "Broadcast" not in plan(got) and plan(got).count("ArrowEvalPython") == 1
     assert got.groupBy("covered").count().orderBy("covered").collect() == [(False, 1000), (True, 5000)]
+
+
+def test_equal_names_of_a_body_meet_once(spark):
+    spoken = spark.range(3000).select(F.lit(1).alias("body_id"), F.col("id").alias("spoken_id"), F.lit("Jahn Smyth").alias("spoken"))
+    officials = spark.range(3000).select(F.lit(1).alias("body_id"), (F.col("id") + 7).alias("person_id"), F.when(F.col("id") % 2 == 0, "John Smith").otherwise("Ann Baker").alias("name"))
+    assert names._keys_of(names._sounding(officials, "person_id", names.known_variants(F.col("name"))), "known", "kk").count() == 4
+    got = names.match_names(spoken, officials)
+    assert got.count() == 3000 and got.select("person_id", "passed").distinct().collect() == [(7, False)]
+    assert got.where("score <> runner_up").isEmpty()
