@@ -4,8 +4,8 @@
     spark.read.format("meeting_answers").option("path", folder).option("what", "meetings").load()
 
 A folder holds one folder a site (its name, or site=name); a site's *.json and *.txt files are answers, each an array of meetings, in the order of
-their names; other files are documents. One partition a file, so answers are read where Spark puts them; filters on site and file leave files
-out before any is opened. A file that can't be read gives a row that says so. Folders may be in any file system that pyarrow opens."""
+their names; other files are documents. One partition a file, or of many small files a run, so answers are read where Spark puts them; filters
+on site and file leave files out before any is opened. A file that can't be read gives a row that says so. Folders may be in any file system that pyarrow opens."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ SCHEMAS = {
     "health": "site string, file string, ok boolean, meetings_found int, reason string",
 }
 ANSWERS = (".json", ".txt")
+#: Up to so many files are a partition each; of more, one takes a run of them, so many and so many bytes at most (a larger file goes alone).
+PARTITIONS, MOST_FILES, MOST_BYTES = 64, 256, 16 << 20
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -34,17 +36,22 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def saved(path: str, what: str) -> list[tuple[str, str, int]]:
     """(site, file, list_no) of the files of a kind, by file and site; list_no counts a site's answers."""
+    return [x[:3] for x in _sized(path, what)]
+
+
+def _sized(path: str, what: str) -> list[tuple[str, str, int, int]]:
+    """As saved(), with each file's bytes."""
     files, folder = _opened(path.rstrip("/"))
     found = []
     for info in files.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True)):
         inside = info.path[len(folder.rstrip("/")) + 1 :].split("/")
         if info.type == fs.FileType.File and len(inside) > 1 and not any(p.startswith((".", "_")) for p in inside):
             if inside[-1].endswith(ANSWERS) != (what == "documents"):
-                found.append((inside[0].removeprefix("site="), "/".join(inside)))
+                found.append((inside[0].removeprefix("site="), "/".join(inside), info.size or 0))
     turn: dict[str, int] = {}
     out = []
-    for site, file in sorted(found, key=lambda x: (x[1].split("/")[-1], x[1])):
-        out.append((site, file, turn.setdefault(site, 0)))
+    for site, file, size in sorted(found, key=lambda x: (x[1].split("/")[-1], x[1])):
+        out.append((site, file, turn.setdefault(site, 0), size))
         turn[site] += 1
     return out
 
@@ -75,6 +82,22 @@ class _File(InputPartition):
         super().__init__((site, file, list_no))
 
 
+class _Files(InputPartition):
+    """Several files; value is a list of theirs."""
+
+
+def _runs(files: list[tuple[str, str, int, int]]) -> list[InputPartition]:
+    runs: list[list] = []
+    held, most = 0, min(MOST_FILES, -(-len(files) // PARTITIONS))
+    for *file, size in files:
+        if not runs or len(runs[-1]) == most or held + size > MOST_BYTES:
+            runs.append([])
+            held = 0
+        runs[-1].append(tuple(file))
+        held += size
+    return [_File(*x[0]) if len(x) == 1 else _Files(x) for x in runs]
+
+
 _TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
 
 
@@ -91,13 +114,14 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        files = saved(self.path, self.what)
+        files = _sized(self.path, self.what)
         fits = lambda x: all(_TESTS[kind](x[0] if column == "site" else x[1], value) for column, kind, value in self.filters)
-        return [_File(*x) for x in files if fits(x)]
+        return _runs([x for x in files if fits(x)])
 
     def read(self, partition: InputPartition | None) -> Iterator[tuple]:
         if partition is not None and partition.value is not None:
-            yield _row(self.path, self.what, *partition.value)
+            for file in partition.value if isinstance(partition.value, list) else [partition.value]:
+                yield _row(self.path, self.what, *file)
 
 
 class _Stream(SimpleDataSourceStreamReader):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import names
 from folioflow.operators import portal
+from folioflow.sources import answers
 
 
 def plan(df):
@@ -27,3 +28,15 @@ def test_equal_names_of_a_body_meet_once(spark):
     got = names.match_names(spoken, officials)
     assert got.count() == 3000 and got.select("person_id", "passed").distinct().collect() == [(7, False)]
     assert got.where("score <> runner_up").isEmpty()
+
+
+def test_small_answers_share_partitions(spark, tmp_path):
+    for k in range(600):
+        site = tmp_path / f"site={k % 2}"
+        site.mkdir(exist_ok=True)
+        (site / f"{k:04d}.json").write_text(f'[{{"id": {k}, "dateTime": "2026-01-02T03:04:05"}}]')
+    got = answers.answers(spark, str(tmp_path), "health")
+    assert got.rdd.getNumPartitions() == 60  # 600 files by ten
+    assert got.where("ok and meetings_found = 1").count() == 600
+    assert answers.answers(spark, str(tmp_path)).where("site = '1'").count() == 300
+    assert [(r["site"], r["n"], r["top"]) for r in answers.answers(spark, str(tmp_path)).groupBy("site").agg(F.countDistinct("list_no").alias("n"), F.max("list_no").alias("top")).orderBy("site").collect()] == [("0", 300, 299), ("1", 300, 299)]
