@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.references import canonical, identifiers, item_references
 from folioflow.functions.text import join_lines, number_parts
+from folioflow.sources.cuts import Cuts
 
 #: How minutes print a motion, its outcome and the names of a vote; the words of a spoken motion and of what became of it.
 MOVED = r"(?i)^(.+?)\s+moved,\s+seconded by\s*(.*?)\s*,\s*(to\s+.+)$"
@@ -38,31 +39,35 @@ def motions(pages: DataFrame) -> DataFrame:
 
     A motion begins at a mover's line and its text goes on to the first label, result or heading; a further mover's line
     before that is text. The first line of outcome tells the result; carried motions to table are tabled. A meeting's lines are
-    one window partition; runs of motions are running counts, so no line is walked by hand."""
+    one window partition, sorted once; blocks and motions are differences of running counts in that order, so no line is walked by hand."""
     lines = pages.select("meeting_id", "page", "line_no", F.trim("text").alias("text")).where(F.col("text") != "").where(~F.col("text").rlike(PAGE_LINE))
     lines = lines.join(running_heads(pages), ["meeting_id", "text"], "left_anti")
     t, low = F.col("text"), F.lower("text")
     kind = F.when(low == WITHDRAWN, "withdrawn").when(low == OPENS, "opens").when(_label(t).isin(LABELS), "label").when(t.rlike(COUNTED), "counted").when(t.rlike(BARE), "bare").when(t.rlike(MOVED), "moved").otherwise("other")
     order = Window.partitionBy("meeting_id").orderBy("page", "line_no")
-    marked = lines.withColumns({"kind": kind, "pos": F.row_number().over(order)})
-    blocks = marked.withColumn("block", F.sum(F.col("kind").isin("withdrawn", "opens", "label", "counted").cast("int")).over(order))
-    in_block = Window.partitionBy("meeting_id", "block").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda test: F.sum(test.cast("int")).over(so_far)
+    at_last = lambda test, c: F.last(F.when(test, c), ignorenulls=True).over(so_far)
+    is_block, moved, other = F.col("kind").isin("withdrawn", "opens", "label", "counted"), F.col("kind") == "moved", F.col("kind").isin("other", "moved")
+    marked = lines.withColumn("kind", kind).withColumns({"pos": F.row_number().over(order), "movers": count(moved), "blocks": count(is_block)})
+    marked = marked.withColumns({"movers_before": at_last(is_block, F.col("movers")), "in_kind": at_last(is_block, F.col("kind"))})
     # the first mover's line after a block's line begins a motion; after a label it would be a name
-    movers = F.sum((F.col("kind") == "moved").cast("int")).over(in_block)
-    listed = F.first("kind").over(in_block) == "label"
-    begins = (F.col("kind") == "moved") & (movers == 1) & ~listed
-    runs = blocks.withColumn("begins", begins).withColumn("motion", F.sum(F.col("begins").cast("int")).over(order)).where("motion > 0")
-
-    own = Window.partitionBy("meeting_id", "motion")
-    in_order = own.orderBy("pos")
-    is_block = F.col("kind").isin("withdrawn", "opens", "label", "counted")
-    x = runs.withColumns({"first_block": F.min(F.when(is_block, F.col("pos"))).over(own), "head": F.last(F.when(~F.col("kind").isin("other", "moved"), F.col("kind")), ignorenulls=True).over(in_order), "list": F.last(F.when(F.col("kind") == "label", _label(t)), ignorenulls=True).over(in_order)})
-    after = F.col("pos") >= F.col("first_block")
-    name = F.col("kind").isin("other", "moved") & (F.col("head") == "label")
-    ends = after & ((F.col("kind") == "opens") | (F.col("kind").isin("other", "moved") & ~name))
-    x = x.withColumn("stop", F.min(F.when(after & (F.col("kind") == "counted"), F.col("pos") + 1).when(ends, F.col("pos"))).over(own))
-    told = after & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-    spoken = F.col("begins") | (F.col("first_block").isNull() | (F.col("pos") < F.col("first_block")))
+    listed = F.coalesce(F.col("in_kind") == "label", F.lit(False))
+    begins = moved & (F.col("movers") - F.coalesce("movers_before", F.lit(0)) == 1) & ~listed
+    runs = marked.withColumn("begins", begins).withColumns({"motion": count(F.col("begins")), "blocks_before": at_last(F.col("begins"), F.col("blocks"))}).where("motion > 0")
+
+    after = F.col("blocks") > F.col("blocks_before")
+    of_motion = lambda test, c: at_last(test, F.struct("motion", c.alias("c")))
+    x = runs.withColumns({"after": after, "last_head": of_motion(~other, F.col("kind")), "last_list": of_motion(F.col("kind") == "label", _label(t))})
+    own = lambda c: F.when(F.col(c)["motion"] == F.col("motion"), F.col(c)["c"])
+    x = x.withColumns({"head": own("last_head"), "list": own("last_list")})
+    name = other & F.coalesce(F.col("head") == "label", F.lit(False))
+    counts, ends = F.col("after") & (F.col("kind") == "counted"), F.col("after") & ((F.col("kind") == "opens") | (other & ~name))
+    x = x.withColumns({"counts": counts.cast("int"), "n_counts": count(counts), "n_ends": count(ends)})
+    x = x.withColumns({"counts_before": at_last(F.col("begins"), F.col("n_counts")), "ends_before": at_last(F.col("begins"), F.col("n_ends"))})
+    # a motion stops after its count, or at a line that is no part of it
+    told = F.col("after") & (F.col("n_counts") - F.col("counts") == F.col("counts_before")) & (F.col("n_ends") == F.col("ends_before"))
+    spoken = F.col("begins") | ~F.col("after")
     piece = F.when(F.col("begins"), F.regexp_extract(t, MOVED, 3)).otherwise(t)
     outcome = F.when(told & F.col("kind").isin("withdrawn", "counted", "bare"), F.struct("pos", "kind", "text"))
     kept = lambda label: F.sort_array(F.collect_list(F.when(told & name & (F.col("list") == label), F.struct("pos", "text"))))
@@ -119,11 +124,14 @@ def spoken_votes(lines: DataFrame, items: DataFrame) -> DataFrame:
     """[CX6] meeting_id, item_no, start_ms, result, motion, outcome: the first spoken motion that names one item only, and what the chair
     says became of it in the next lines. A mention is never a count. lines: meeting_id, line_id, start_ms, text."""
     order = Window.partitionBy("meeting_id").orderBy("start_ms", "line_id")
+    near = F.array_join(F.array("text", *[F.lead("text", k).over(order) for k in range(1, MOTION_LINES)]), " ")
     told = F.when(spoken_result(F.col("text")) != "unknown", F.trim("text"))
-    ahead = F.first(told, ignorenulls=True).over(order.rowsBetween(MOTION_LINES, MOTION_LINES + OUTCOME_LINES - 1))
-    near = F.array_join(F.collect_list("text").over(order.rowsBetween(0, MOTION_LINES - 1)), " ")
-    said = lines.withColumns({"outcome": ahead, "near": near}).where(F.col("text").rlike(SPOKEN_MOTION))
+    placed = lines.select("meeting_id", "line_id", "start_ms", "text", F.row_number().over(order).alias("pos"), near.alias("near"))
+    few = placed.withColumns({"told": told, "moved": F.coalesce(F.col("text").rlike(SPOKEN_MOTION), F.lit(False))}).where("moved or told is not null")
+    ahead = Window.partitionBy("meeting_id").orderBy("pos").rangeBetween(MOTION_LINES, MOTION_LINES + OUTCOME_LINES - 1)
+    said = few.withColumn("outcome", F.first("told", ignorenulls=True).over(ahead)).where("moved")
     motion = said.select("meeting_id", "line_id", "start_ms", F.col("near").alias("text"), F.coalesce("outcome", F.lit("")).alias("outcome"))
+    motion = Cuts(lines.sparkSession, "spoken").write("motions", motion)  # it is read three times
     named = _items_named(motion, items, ["line_id"])
     single = named.groupBy("meeting_id", "line_id").agg(F.count("*").alias("n"), F.min("item_no").alias("item_no")).where("n = 1").drop("n")
     first = motion.join(single, ["meeting_id", "line_id"]).groupBy("meeting_id", "item_no").agg(F.min(F.struct("start_ms", "line_id", F.col("text").alias("motion"), "outcome")).alias("x"))
