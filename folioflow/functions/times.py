@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,18 +41,27 @@ def clock(ms: Column, with_ms: bool = True) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", *parts, ms % 1000) if with_ms else F.format_string("%02d:%02d:%02d", *parts)
 
 
+#: The end of a text, before which a last line break may stand.
+END = r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z"
+
+
+def _parts(text: Column, pattern: str, n: int, value: Callable[[list[Column]], Column]) -> Column:
+    """value(the pattern's n groups of digits as numbers, 0 where there is none); null where the text isn't of the pattern. The pattern is tried once."""
+    told = F.split(F.regexp_replace(text, pattern, "=" + ",".join(f"${i}" for i in range(1, n + 1))), ",", -1)
+    number = lambda x, i: F.concat(F.lit("0"), F.get(x, F.lit(i))).cast("long")
+    kept = lambda x: F.when(F.startswith(x[0], F.lit("=")), value([F.concat(F.lit("0"), F.substr(x[0], F.lit(2))).cast("long"), *(number(x, i) for i in range(1, n))]))
+    return F.when(~F.startswith(text, F.lit("=")), F.get(F.transform(F.array(told), kept), F.lit(0)))
+
+
 def clock_ms(text: Column) -> Column:
     """[DT7] Milliseconds of HH:MM:SS.mmm or MM:SS.mmm; null for other texts."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$", i), F.lit("")), F.lit("0")).cast("long")
-    whole = ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
-    return F.when(text.rlike(r"^(?:\d+:)?\d{1,2}:\d{2}[.,]\d{3}$"), whole)
+    return _parts(text, r"^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})" + END, 4, lambda p: ((p[0] * 60 + p[1]) * 60 + p[2]) * 1000 + p[3])
 
 
 def iso_seconds(text: Column) -> Column:
     """[DT5] Seconds of an ISO-8601 duration of days and below; null where it isn't one."""
-    pattern = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("0")).cast("long")
-    return F.when(text.rlike(pattern) & text.rlike(r"\d"), ((part(1) * 24 + part(2)) * 60 + part(3)) * 60 + part(4))
+    pattern = r"^P(?=\D*\d)(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?" + END
+    return _parts(text, pattern, 4, lambda p: ((p[0] * 24 + p[1]) * 60 + p[2]) * 60 + p[3])
 
 
 def due_day(moment: Column, zone: str, daily_at: str) -> Column:

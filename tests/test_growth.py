@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from folioflow.functions import names
-from folioflow.operators import portal
+from folioflow.functions import names, times
+from folioflow.operators import closure, minutes, portal
 from folioflow.sources import answers
+from folioflow.sources.cuts import Cuts
 
 
 def plan(df):
@@ -40,3 +41,36 @@ def test_small_answers_share_partitions(spark, tmp_path):
     assert got.where("ok and meetings_found = 1").count() == 600
     assert answers.answers(spark, str(tmp_path)).where("site = '1'").count() == 300
     assert [(r["site"], r["n"], r["top"]) for r in answers.answers(spark, str(tmp_path)).groupBy("site").agg(F.countDistinct("list_no").alias("n"), F.max("list_no").alias("top")).orderBy("site").collect()] == [("0", 300, 299), ("1", 300, 299)]
+
+
+def test_a_duration_tries_its_pattern_once(spark):
+    x = spark.createDataFrame([("P1DT2H3M4S", "1:02:03.004"), ("P", "=1,2,3,4"), ("PT5S\n", "02:03,004\r\n"), (None, "1:2:3.004")], "iso string, at string")
+    got = x.select(times.iso_seconds(F.col("iso")).alias("s"), times.clock_ms(F.col("at")).alias("ms"))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace(") == 2 and "regexp_extract(" not in text and "RLIKE" not in text
+    assert [tuple(r) for r in got.collect()] == [(93784, 3723004), (None, None), (5, 123004), (None, None)]
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], Cuts.write
+    monkeypatch.setattr(Cuts, "write", lambda self, name, df: plans.append(plan(df)) or write(self, name, df))
+    got = closure.components(spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert got.where("component = 0").count() == 201
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_lines_of_minutes_are_sorted_once(spark):
+    pages = spark.createDataFrame([(1, 1, k, t) for k, t in enumerate(["MOTION", "Ann moved, seconded by Bo, to adjourn", "Carried: 7 - 0"])], "meeting_id long, page int, line_no int, text string")
+    got = minutes.motions(pages)
+    window_sorts = [x for x in plan(got).splitlines() if "Sort [meeting_id" in x and ("pos" in x or "line_no" in x)]
+    assert len(window_sorts) == 1
+    assert [(r["mover"], r["result"], r["yes"]) for r in got.collect()] == [("Ann", "passed", 7)]
+
+
+def test_spoken_lines_without_a_word_of_motions_go_no_further(spark, monkeypatch):
+    plans, write = [], Cuts.write
+    monkeypatch.setattr(Cuts, "write", lambda self, name, df: plans.append(plan(df)) or write(self, name, df))
+    lines = spark.createDataFrame([(1, k, k * 1000, "a motion on item 9A" if k == 0 else "that carries" if k == 26 else "yes") for k in range(40)], "meeting_id long, line_id long, start_ms long, text string")
+    items = spark.createDataFrame([(1, 0, "9.A", "x")], "meeting_id long, item_no int, number string, title string")
+    assert [(r["item_no"], r["result"], r["motion"]) for r in minutes.spoken_votes(lines, items).collect()] == [(0, "passed", "a motion on item 9A yes yes")]
+    assert len(plans) == 1 and "collect_list" not in plans[0]
