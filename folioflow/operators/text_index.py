@@ -25,6 +25,8 @@ from folioflow.operators.search import B, K1, LEAST_IDF, OVER_FETCH, one_hit_per
 from folioflow.sources.cuts import remove
 
 BLOCK, SHARD, BUCKETS = 128, 16, 64
+#: Tokens whose postings are told apart at once in a task.
+HELD_TOKENS = 1 << 20
 #: Cells (a block of the rarest term and the blocks of the others beside it) that a search reads first; each further round reads four times as many, up to MOST_CELLS at once.
 FIRST_CELLS, MOST_CELLS = 16, 256
 #: Scores are rounded to six decimals, so a bound that falls short by less isn't told from one that reaches.
@@ -119,6 +121,29 @@ def _pack(mean: float):
     return run
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their tokens (did, tokens) as rows of did, size, term, places: a row's tokens are sorted where they are, in slices of bounded length."""
+    for b in batches:
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(b.column("tokens")), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        low = 0
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + HELD_TOKENS, side="right")) - 1)
+            part, sizes = b.slice(low, high - low), np.diff(ends[low : high + 1])
+            low = high
+            if not sizes.sum():
+                continue
+            words = part.column("tokens").flatten().dictionary_encode()
+            code = words.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(row * len(words.dictionary) + code, kind="stable")  # places stay ascending
+            row, code = row[order], code[order]
+            starts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(code) != 0)))
+            places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            own = row[starts]
+            yield pa.RecordBatch.from_arrays([part.column("did").take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), words.dictionary.take(pa.array(code[starts])), places], ["did", "size", "term", "places"])
+
+
 def _unpack(with_places: bool):
     """Blocks as postings again: term, did, count, size, and places where asked for."""
 
@@ -146,7 +171,7 @@ def _unpack(with_places: bool):
 def build(docs: DataFrame, key: list[str], path: str, keep: list[str] = (), partitions: int | None = None) -> TextIndex:
     """Builds the index of docs (key, text and the columns to keep) at path. Each text is tokenised once.
 
-    A null text has no tokens and is a row of the corpus all the same. Postings are dealt by ranges of (bucket, term, did), so the
+    A null text has no tokens and is a row of the corpus all the same. A text's own postings are told apart where it is read; they are shuffled once, dealt by ranges of (bucket, term, did), so the
     postings of a common word lie in many tasks."""
     spark = docs.sparkSession
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -157,8 +182,8 @@ def build(docs: DataFrame, key: list[str], path: str, keep: list[str] = (), part
     rows = spark.read.parquet(f"{path}/rows")
     rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").first()["mean"] or 1.0
-    each = tokens.select("did", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "term"))
-    per = each.groupBy("did", "size", "term").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn("bucket", _bucket(F.col("term")))
+    held = tokens.select("did", "tokens").mapInArrow(_held, "did long, size int, term string, places array<int>")
+    per = held.withColumn("bucket", _bucket(F.col("term")))
     order = ["bucket", "term", "did"]
     blocks = per.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("bucket", "term", "did", "size", "places").mapInArrow(_pack(mean), POSTINGS)
     kept = blocks.withColumn("blk", F.monotonically_increasing_id()).sortWithinPartitions("bucket", "blk")

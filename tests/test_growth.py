@@ -1,9 +1,10 @@
 """Steps that have to grow with their input only: what is broadcast, sent to the driver, or met pair by pair."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.functions import names, times
-from folioflow.operators import closure, minutes, portal
+from folioflow.operators import closure, minutes, portal, text_index
 from folioflow.sources import answers
 from folioflow.sources.cuts import Cuts
 
@@ -74,3 +75,13 @@ def test_spoken_lines_without_a_word_of_motions_go_no_further(spark, monkeypatch
     items = spark.createDataFrame([(1, 0, "9.A", "x")], "meeting_id long, item_no int, number string, title string")
     assert [(r["item_no"], r["result"], r["motion"]) for r in minutes.spoken_votes(lines, items).collect()] == [(0, "passed", "a motion on item 9A yes yes")]
     assert len(plans) == 1 and "collect_list" not in plans[0]
+
+
+def test_a_text_is_told_apart_where_it_is_read(spark, monkeypatch):
+    rows = [(1, ["b", "a", "b"]), (2, None), (3, []), (4, ["a"]), (None, ["c", "c"])]
+    want = {(1, 3, "b", (0, 2)), (1, 3, "a", (1,)), (4, 1, "a", (0,)), (None, 2, "c", (0, 1))}
+    batch = pa.table({"did": pa.array([r[0] for r in rows], pa.int64()), "tokens": pa.array([r[1] for r in rows], pa.list_(pa.string()))}).to_batches()[0]
+    for held in (1, 3, 1 << 20):
+        monkeypatch.setattr(text_index, "HELD_TOKENS", held)
+        got = [(x["did"], x["size"], x["term"], tuple(x["places"])) for b in text_index._held([batch]) for x in b.to_pylist()]
+        assert len(got) == 4 and set(got) == want
