@@ -6,24 +6,25 @@ import itertools
 import math
 import operator
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, table
+from folioflow.llm.common import Scratch, cut, table
 
 #: Frequent function words of the languages met, whose share is high in prose.
 FUNCTION_WORDS = "a al an and are as at avec be by con dans das de del den der des die du ein eine el en es et for from he im in is ist it la las le les los mit nicht of on or para por pour que qui se sich sie su sur that the this to un una und une von was with y zu".split()
 ABSTAIN, BAD, GOOD = 0, 1, 2
-#: Hash slots of the scorer, and the greatest number of documents (by hash of the id) it is trained on.
+#: Hash slots of the scorer. Documents of a block, one step of the training (by hash of id and text), and the greatest number of
+#: blocks: beyond, blocks grow, so that every document takes part in STEPS / BLOCKS steps at least.
 SLOTS = 1 << 14
-TRAIN_ROWS = 4000
+TRAIN_ROWS, BLOCKS = 4000, 100
 #: Short texts are judged as if they had so many more words of no weight.
 PRIOR_WORDS = 10
 STEPS = 300
@@ -57,6 +58,10 @@ def shape(word: str) -> str:
     return word
 
 
+#: The sign of every short code point: words of one outline have one shape.
+_SIGNS = {c: shape(chr(c)) for c in range(256)}
+
+
 class _Known(dict):
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
@@ -72,10 +77,13 @@ class _Known(dict):
 def votes(text: str, known: _Known) -> list[int]:
     """One vote of each labeller: ABSTAIN, BAD or GOOD."""
     words = text.split()
+    return _votes(text, words, np.fromiter(map(known.__getitem__, words), np.uint8, len(words)))
+
+
+def _votes(text: str, words: list[str], bits: np.ndarray) -> list[int]:
     n = len(words)
     if n == 0:
         return [BAD] * len(LABELLERS)
-    bits = np.fromiter(map(known.__getitem__, words), np.uint8, n)
     share = {b: np.count_nonzero(bits & b) / n for b in (FUNCTION, SHOUT, NOISY, BAR, LONG, LINK, SIGN)}
     lines = [x for x in text.split("\n") if x]
     repeats = 1 - len(set(lines)) / max(1, len(lines))
@@ -132,8 +140,9 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.weights[_slots(word)].sum())
+    def word(self, word: str, shapes: _Known) -> float:
+        a, b = _slots(word, shapes)
+        return float(self.weights[a] + self.weights[b])
 
     def score(self, words: list[str], known: _Known) -> float:
         if not words:
@@ -145,75 +154,128 @@ class Model:
 STUTTER = xxhash.xxh3_64_intdigest("stutter") % SLOTS
 
 
-def _slots(word: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(word.lower()) % SLOTS, xxhash.xxh3_64_intdigest("shape " + shape(word)) % SLOTS]
+def _shape_slot(word: str) -> int:
+    return xxhash.xxh3_64_intdigest("shape " + shape(word)) % SLOTS
+
+
+def _slots(word: str, shapes: _Known | None = None) -> list[int]:
+    outline = word.translate(_SIGNS)
+    return [xxhash.xxh3_64_intdigest(word.lower()) % SLOTS, _shape_slot(outline) if shapes is None else shapes[outline]]
+
 
+def _slope(part: tuple, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Slope of the logistic loss by weight, and by the bias, over the documents of `_part`."""
+    target, balance, row, slot, share = part
+    z = np.bincount(row, weights[slot] * share, len(target)) + bias
+    gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * balance
+    return np.append(np.bincount(slot, gap[row] * share, SLOTS), gap.sum())
 
-def train(rows: list[tuple[float, list[int], list[float]]]) -> Model:
-    """Logistic regression on soft labels by full-batch Adam; rows: P(good), slots, shares."""
+
+def _part(batch: pa.RecordBatch, good: dict[int, float], balance: tuple[float, float]) -> tuple:
+    """P(good) and weight of each document of a batch; row, slot and share of each of their slots."""
+    rows = batch.to_pydict()
+    target = np.array([good[p] for p in rows["pattern"]])
+    slot = np.frombuffer(b"".join(rows["slots"]), "<u2").astype(np.int64)
+    row = np.repeat(np.arange(len(target)), [len(s) // 2 for s in rows["slots"]])
+    share = np.frombuffer(b"".join(rows["counts"]), "<u4") / (np.array(rows["words"], np.int64) + PRIOR_WORDS)[row]
+    return target, np.where(target >= 0.5, balance[0], balance[1]), row, slot, share
+
+
+def train(slope_of: Callable[[int, np.ndarray, float], np.ndarray]) -> Model:
+    """Logistic regression on soft labels by Adam; slope_of tells a step's slope (step from 0, weights, bias)."""
     weights, bias = np.zeros(SLOTS), 0.0
-    if not rows:
-        return Model(weights, 20.0)
-    target = np.array([r[0] for r in rows])
-    slot = np.concatenate([np.array(r[1], np.int64) for r in rows])
-    share = np.concatenate([np.array(r[2]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    balance = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
     m, v = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, weights[slot] * share, len(rows)) + bias
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * balance
-        slope = np.append(np.bincount(slot, gap[row] * share, SLOTS) + 1e-6 * weights, gap.sum())
+        slope = slope_of(step - 1, weights, bias) + np.append(1e-6 * weights, 0.0)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         weights, bias = weights - move[:-1], bias - move[-1]
     return Model(weights, float(bias))
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The scorer, and doc_id, pattern, posterior of every row. All documents count for the labellers' accuracies; the
-    scorer is trained on at most TRAIN_ROWS documents, half of them likely good and half likely bad where there are so many."""
+class _Words(_Known):
+    """Numbers of words, with what the labellers look at (bits) and the two slots of each."""
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Known(traits)
-        for b in batches:
-            found = [sum(v * 3**j for j, v in enumerate(votes(t, known))) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "key": b.key, "pattern": found})
+    def __init__(self, limit: int = 300_000):
+        super().__init__(self.add, limit)
+        self.bits, self.slots, self.shapes = np.zeros(limit, np.uint8), np.zeros((2, limit), np.uint16), _Known(_shape_slot)
+
+    def add(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.bits):  # a text of more words than the limit
+            self.bits, self.slots = np.concatenate([self.bits] * 2), np.concatenate([self.slots] * 2, 1)
+        self.bits[i], self.slots[:, i] = traits(word), _slots(word, self.shapes)
+        return i
 
-    rows = _rows(docs)
+    def __missing__(self, word: str) -> int:
+        self[word] = i = self.add(word)
+        return i
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) >= self.limit:  # between texts, so that a text's numbers stay good
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+FEATURES = "doc_id long, key long, pattern int, words int, slots binary, counts binary"
+
+
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = _Words()
+    for b in batches:
+        out = []
+        for text in b.text:
+            words = text.split()
+            ids = known.of(words)
+            pattern = sum(v * 3**j for j, v in enumerate(_votes(text, words, known.bits[ids])))
+            slots, counts = np.unique(np.append(known.slots[:, ids], np.full(stutter(words), STUTTER, np.uint16)), return_counts=True)
+            out.append((pattern, len(words), slots.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
+        found = pd.DataFrame(out, columns=["pattern", "words", "slots", "counts"])
+        yield pd.concat([pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "key": b.key}), found], axis=1)
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The scorer, and doc_id, key, pattern, posterior of every row. All documents count for the labellers' accuracies, and
+    all train the scorer, rows equal in doc_id and text once.
+
+    Documents are dealt by hash to blocks of about TRAIN_ROWS, at most BLOCKS; each step of the training takes the slope over one whole
+    block, block after block. The slope is summed in tasks over the block's stored features; the driver gets one vector of SLOTS
+    a task. A corpus of at most TRAIN_ROWS rows is one block, whose features are held for all steps."""
     spark = docs.sparkSession
-    voted = cut(rows.mapInPandas(vote, "doc_id long, key long, pattern int"))
-    found = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
+    blocks = max(1, min(BLOCKS, -(-docs.count() // TRAIN_ROWS)))
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int")
+    dealt = _rows(docs).mapInPandas(_features, FEATURES).withColumn("block", block).repartitionById(blocks, F.col("block"))
+    once = dealt.groupBy("block", "doc_id", "key").agg(*[F.first(c).alias(c) for c in ("pattern", "words", "slots", "counts")], F.count("*").alias("times"))
+    scratch = Scratch(spark, "quality")
+    kept = scratch.write("features", once, "block")
+    found = kept.groupBy("pattern").agg(F.sum("times").alias("count"), F.count("*").alias("once")).orderBy("pattern").collect()  # at most 3 ** labellers rows
+    if not found:
+        return Model(np.zeros(SLOTS), 20.0), kept.select("doc_id", "key", "pattern", F.lit(1.0).alias("posterior"))
     codes = np.array([r["pattern"] for r in found], np.int64)
-    table_ = np.stack([codes // 3**j % 3 for j in range(len(LABELLERS))], 1) if len(codes) else np.zeros((0, len(LABELLERS)), int)
-    good = dict(zip(codes.tolist(), expectation_maximisation(table_, np.array([r["count"] for r in found], float)).tolist())) if len(codes) else {}
-    if not good:
-        return train([]), voted.select("doc_id", "key", "pattern", F.lit(1.0).alias("posterior"))
+    patterns = np.stack([codes // 3**j % 3 for j in range(len(LABELLERS))], 1)
+    good = dict(zip(codes.tolist(), expectation_maximisation(patterns, np.array([r["count"] for r in found], float)).tolist()))
+    sure = sum(r["once"] for r in found if good[r["pattern"]] >= 0.5)
+    balance = 0.5 * blocks / max(1, sure), 0.5 * blocks / max(1, sum(r["once"] for r in found) - sure)
+    columns = kept.select("block", "pattern", "words", "slots", "counts")
+    if blocks == 1:
+        parts = [_part(b, good, balance) for b in columns.toArrow().to_batches() if b.num_rows]
+        model = train(lambda step, weights, bias: sum(_slope(p, weights, bias) for p in parts))
+    else:
+        model = train(lambda step, weights, bias: _block_slope(columns.where(F.col("block") == step % blocks), good, balance, weights, bias))
     known = spark.createDataFrame(list(good.items()), "pattern int, posterior double")
-    voted = voted.join(F.broadcast(known), "pattern")  # at most 3 ** labellers rows
-    order = [F.xxhash64("doc_id", "key"), "doc_id", "key"]
-    half = [voted.where(c).orderBy(*order).limit(TRAIN_ROWS // 2) for c in ("posterior >= 0.5", "posterior < 0.5")]
-    chosen = half[0].unionByName(half[1]).select("doc_id", "key", "posterior").distinct()
-    sample = rows.join(F.broadcast(chosen), (rows.doc_id.eqNullSafe(chosen.doc_id)) & (rows.key == chosen.key)).select(rows.doc_id, rows.key, "text", "posterior")
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Known(_slots)
+    rows = cut(kept.select("doc_id", "key", "pattern", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("col"))
+    scratch.drop("features")
+    return model, rows.join(F.broadcast(known), "pattern").select("doc_id", "key", "pattern", "posterior")  # at most 3 ** labellers rows
+
+
+def _block_slope(block: DataFrame, good: dict[int, float], balance: tuple[float, float], weights: np.ndarray, bias: float) -> np.ndarray:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS + 1)
         for b in batches:
-            out = []
-            for doc_id, key, text, p in zip(b.doc_id.array, b.key, b.text, b.posterior):
-                words = text.split()
-                sums = Counter()
-                for w, c in Counter(words).items():
-                    for s in known[w]:
-                        sums[s] += c
-                sums[STUTTER] += stutter(words)
-                slots = sorted(sums)
-                out.append((doc_id, key, p, slots, [sums[s] / (len(words) + PRIOR_WORDS) for s in slots]))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "p", "slots", "shares"]).astype({"doc_id": "Int64"})
-
-    got = sample.mapInPandas(features, "doc_id long, key long, p double, slots array<int>, shares array<double>").dropDuplicates(["doc_id", "key"])
-    ordered = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"]))
-    return train([(r["p"], r["slots"], r["shares"]) for r in ordered]), voted
+            total += _slope(_part(b, good, balance), weights, bias)
+        yield pa.RecordBatch.from_pydict({"slope": [total.tobytes()]})
+
+    return sum((np.frombuffer(r["slope"]) for r in block.mapInArrow(add, "slope binary").collect()), np.zeros(SLOTS + 1))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -224,7 +286,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _scorer(model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Known(model.word)
+        shapes = _Known(_shape_slot)
+        known = _Known(lambda word: model.word(word, shapes))
         for texts in batches:
             yield pd.Series([model.score(t.split(), known) for t in texts], dtype="float64")
 

@@ -88,3 +88,13 @@ def test_classifier_matches_plain_loops(spark):
         z = sum(weights.get(s, 0.0) * x for s, x in features(t or "").items()) + bias
         assert r["doc_id"] == i and r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))) if (t or "").split() else 0.0, abs=1e-6)
         assert r["keep"] == (r["score"] >= 0.5)
+
+
+def test_every_document_trains_the_classifier(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 12)  # 52 rows: five blocks, one a step
+    monkeypatch.setattr(quality, "STEPS", 10)
+    rows = corpus()
+    model, told = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert told.count() == len(rows)
+    used = {s for _, t in rows for s in features(t or "")}
+    assert {s for s in range(quality.SLOTS) if model.weights[s]} == used
