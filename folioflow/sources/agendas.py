@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
@@ -97,11 +100,43 @@ class _Agenda(HTMLParser):
             self.now[role] += data
 
 
+#: A tag and the text after it; attributes in plain form (lower case, values in double quotes, without references); elements whose text is read raw.
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9]*)([^<>]*)>([^<]*)")
+_ATTRIBUTE = re.compile(r'[ \t\r\n]+([a-z][a-z0-9_-]*)="([^"<>&]*)"')
+_ATTRIBUTES = re.compile(rf"(?:{_ATTRIBUTE.pattern.replace('(', '(?:')})*[ \t\r\n]*")
+_RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+
+
+@functools.lru_cache(1 << 12)
+def _plain(end: str, tag: str, attributes: str) -> list[tuple[str, str]] | None:
+    """A tag's attributes; None if the tag isn't plain."""
+    if tag in _RAW or not _ATTRIBUTES.fullmatch(attributes) or (end and attributes.strip()):
+        return None
+    return _ATTRIBUTE.findall(attributes)
+
+
+def _walked(html: str) -> _Agenda:
+    """The page's tags and texts, walked. Where all tags are plain one pattern finds them, else the parser."""
+    walk = _Agenda()
+    found = _TAG.findall(html)
+    plain = [_plain(*t[:3]) for t in found] if len(found) == html.count("<") else [None]
+    if None in plain:
+        walk.feed(html)
+        walk.close()
+        return walk
+    for (end, tag, _, text), attributes in zip(found, plain):
+        if end:
+            walk.handle_endtag(tag)
+        else:
+            walk.handle_starttag(tag, attributes)
+        if text:
+            walk.handle_data(unescape(text) if "&" in text else text)
+    return walk
+
+
 def agenda_items(html: str) -> list[dict]:
     """[SRC8] number, title, seconds of the sections and items of an HTML agenda, in order. An item's number stands after its section's."""
-    walk = _Agenda()
-    walk.feed(html)
-    walk.close()
+    walk = _walked(html)
     plain = lambda t: " ".join(t.replace("\xa0", " ").split())
     stem = lambda t: plain(t).rstrip(".").strip()
     out = []
@@ -116,9 +151,15 @@ def agenda_items(html: str) -> list[dict]:
 ITEMS = ArrayType(StructType().add("number", StringType()).add("title", StringType()).add("seconds", LongType()))
 
 
-@F.pandas_udf(ITEMS)
-def _items(pages: pd.Series) -> pd.Series:
-    return pd.Series([agenda_items(p or "") for p in pages])
+@F.arrow_udf(ITEMS)
+def _items(pages: pa.Array) -> pa.Array:
+    starts, rows = [0], []
+    for page in pages:
+        rows += agenda_items(page.as_py() or "")
+        starts.append(len(rows))
+    types = {"number": pa.string(), "title": pa.string(), "seconds": pa.int64()}
+    parts = pa.StructArray.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), parts)
 
 
 def html_agendas(pages: DataFrame, key: str, html: str, video_seconds: Column | None = None) -> DataFrame:

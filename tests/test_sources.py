@@ -1,5 +1,6 @@
 """Sources over small literal files."""
 
+import random
 import json
 
 import pytest
@@ -185,3 +186,20 @@ def test_printed_agendas(spark):
     rows = spark.createDataFrame([(7, k, t) for k, t in enumerate(pages)], "record_id long, page int, text string")
     got = [tuple(r)[2:] for r in agendas.printed_agendas(rows, "record_id").orderBy("item_no").collect()]
     assert got == [("1.", "CALL TO ORDER"), ("9.", "CONSENT AGENDA"), ("9.A", "O-2026-74, A Bill for the 1st reading"), ("9.I.1", "Sub item"), ("10.C", "of ten"), ("3", "Tables of water")]
+
+
+def test_plain_pages_are_walked_as_the_parser_does(monkeypatch):
+    rng = random.Random(5)
+    pieces = ['<div data-sectionid="1" data-videolocation="7">', '<div class="meeting-item" data-videolocation="soon">', '<td class="number-cell-section">3.</td>', '<td class="number-cell">A.', '<td class="agenda-item">', "</td>", "</div>"]
+    pieces += ["R&nbsp;&amp; O", "&notit; x &#65", '<br class="paragraph-break">', '<span class="item_contents">', "</span>", '<td class="section-heading" >', "\n", "</div >", "</p>", '<b class="agenda-item" class="x">']
+    odd = ["<!-- c -->", "<script>", "</script>", "<title>", "<br/>", "<", "a < b", "<DIV CLASS='x'>", '<i title="a>b">', '<i title="&amp;">', "</td x>", "<td", "&am", '<td class="a"b="c">', "<?x>", "<td checked>"]
+    pages = ["".join(rng.choices(pieces, k=rng.randrange(30))) for _ in range(1500)] + ["".join(rng.choices(pieces + odd, k=rng.randrange(30))) for _ in range(1500)]
+    got = [agendas.agenda_items(p) for p in pages]
+    monkeypatch.setattr(agendas, "_plain", lambda *_: None)  # the parser walks every page
+    assert got == [agendas.agenda_items(p) for p in pages] and sum(map(bool, got)) > 200
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    page = '<div data-sectionid="1" data-videolocation="7"><td class="number-cell-section">3.</td><td class="section-heading">N &amp; F</td></div>'
+    monkeypatch.setattr(agendas._Agenda, "feed", None)
+    assert agendas.agenda_items(page) == [{"number": "3.", "title": "N & F", "seconds": 7}]
