@@ -203,3 +203,9 @@ def test_plain_pages_need_no_parser(monkeypatch):
     page = '<div data-sectionid="1" data-videolocation="7"><td class="number-cell-section">3.</td><td class="section-heading">N &amp; F</td></div>'
     monkeypatch.setattr(agendas._Agenda, "feed", None)
     assert agendas.agenda_items(page) == [{"number": "3.", "title": "N & F", "seconds": 7}]
+
+
+def test_lines_are_handed_over_by_column():
+    lines = [(0, 5, "a b", [(0, "a"), (2, "b")], None), (7, 9, "c", [], "Chair")]
+    assert captions._table(lines).to_pylist() == [dict(zip(("start_ms", "end_ms", "text", "words", "speaker"), x)) | {"words": [{"start_ms": t, "text": w} for t, w in x[3]]} for x in lines]
+    assert captions._table([]).to_pylist() == []
