@@ -7,7 +7,6 @@ import re
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,9 +46,21 @@ def decoded(data: bytes, content_type: str | None = None) -> str:
         return data.decode("utf-8", "replace")
 
 
-@F.pandas_udf(StringType())
-def decode_page(data: pd.Series, content_type: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else decoded(bytes(d), t) for d, t in zip(data, content_type)])
+@F.arrow_udf(StringType())
+def decode_page(data: pa.Array, content_type: pa.Array) -> pa.Array:
+    return _decoded_pages(data, content_type)
+
+
+#: Pages whose texts stand in memory as Python's strings at once.
+HELD = 64
+
+
+def _decoded_pages(data: pa.Array, content_type: pa.Array) -> pa.Array:
+    parts = [pa.array([], pa.string())]
+    for at in range(0, len(data), HELD):
+        pages = zip(data.slice(at, HELD), content_type.slice(at, HELD))
+        parts.append(pa.array([decoded(d.as_py(), t.as_py()) if d.is_valid else None for d, t in pages], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 class _Agenda(HTMLParser):

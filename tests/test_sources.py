@@ -3,6 +3,7 @@
 import random
 import json
 
+import pyarrow as pa
 import pytest
 
 from folioflow.sources import agendas, captions, listings, tables
@@ -209,3 +210,11 @@ def test_lines_are_handed_over_by_column():
     lines = [(0, 5, "a b", [(0, "a"), (2, "b")], None), (7, 9, "c", [], "Chair")]
     assert captions._table(lines).to_pylist() == [dict(zip(("start_ms", "end_ms", "text", "words", "speaker"), x)) | {"words": [{"start_ms": t, "text": w} for t, w in x[3]]} for x in lines]
     assert captions._table([]).to_pylist() == []
+
+
+def test_pages_are_decoded_in_slices(monkeypatch):
+    monkeypatch.setattr(agendas, "HELD", 2)
+    rows = [("é".encode(), None), (None, "text/html"), (b"\xff\xfe" + "ü".encode("utf-16-le"), None), (b"\xe9", "charset=latin-1"), (b"\xe9", None)]
+    data, types = pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())
+    assert agendas._decoded_pages(data, types).to_pylist() == ["é", None, "ü", "é", "é"]
+    assert agendas._decoded_pages(data[:0], types[:0]).to_pylist() == []
