@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Scratch, as_rows, hashed_words, shingle_hashes, table, text_key
+from folioflow.llm.common import Scratch, as_rows, hashed_words, shingle_hashes, sliced, table, text_key
 
 WIDTH = 5
 PERCENT = 75
@@ -76,19 +77,20 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id (128-bit digest of the set, null when empty) and registers of each row."""
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        out = []
+        for text in b["text"].to_pylist():
+            s = shingle_set(text)
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
+        found = zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], *[pa.array(x, kind) for x, kind in found]], ["doc_id", "text_key", "n_shingles", "set_id", "regs"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch.text.array:
-                s = shingle_set(text)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
-            yield batch[["doc_id", "text_key"]].astype({"doc_id": "Int64"}).assign(**dict(zip(("n_shingles", "set_id", "regs"), zip(*out))) if out else {"n_shingles": 0, "set_id": None, "regs": None})
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_id (128-bit digest of the set, null when empty) and registers of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_id binary, regs binary")
+    return rows.mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, set_id binary, regs binary")
 
 
 def link_components(edges: DataFrame, scratch: Scratch, name: str = "comps", rounds: int = 40) -> DataFrame:

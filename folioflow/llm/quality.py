@@ -10,13 +10,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Scratch, cut, table
+from folioflow.llm.common import HELD, Scratch, cut, sliced, table
 
 #: Frequent function words of the languages met, whose share is high in prose.
 FUNCTION_WORDS = "a al an and are as at avec be by con dans das de del den der des die du ein eine el en es et for from he im in is ist it la las le les los mit nicht of on or para por pour que qui se sich sie su sur that the this to un una und une von was with y zu".split()
@@ -220,18 +219,18 @@ class _Words(_Known):
 FEATURES = "doc_id long, key long, pattern int, words int, slots binary, counts binary"
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for b in batches:
+    for b in sliced(batches):
         out = []
-        for text in b.text:
+        for text in b["text"].to_pylist():
             words = text.split()
             ids = known.of(words)
             pattern = sum(v * 3**j for j, v in enumerate(_votes(text, words, known.bits[ids])))
             slots, counts = np.unique(np.append(known.slots[:, ids], np.full(stutter(words), STUTTER, np.uint16)), return_counts=True)
             out.append((pattern, len(words), slots.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
-        found = pd.DataFrame(out, columns=["pattern", "words", "slots", "counts"])
-        yield pd.concat([pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "key": b.key}), found], axis=1)
+        found = zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *[pa.array(x, kind) for x, kind in found]], ["doc_id", "key", "pattern", "words", "slots", "counts"])
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -244,7 +243,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     blocks = max(1, min(BLOCKS, -(-docs.count() // TRAIN_ROWS)))
     block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int")
-    dealt = _rows(docs).mapInPandas(_features, FEATURES).withColumn("block", block).repartitionById(blocks, F.col("block"))
+    dealt = _rows(docs).mapInArrow(_features, FEATURES).withColumn("block", block).repartitionById(blocks, F.col("block"))
     once = dealt.groupBy("block", "doc_id", "key").agg(*[F.first(c).alias(c) for c in ("pattern", "words", "slots", "counts")], F.count("*").alias("times"))
     scratch = Scratch(spark, "quality")
     kept = scratch.write("features", once, "block")
@@ -271,7 +270,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 def _block_slope(block: DataFrame, good: dict[int, float], balance: tuple[float, float], weights: np.ndarray, bias: float) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1)
-        for b in batches:
+        for b in sliced(batches):
             total += _slope(_part(b, good, balance), weights, bias)
         yield pa.RecordBatch.from_pydict({"slope": [total.tobytes()]})
 
@@ -284,12 +283,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _scorer(model: Model):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shapes = _Known(_shape_slot)
         known = _Known(lambda word: model.word(word, shapes))
         for texts in batches:
-            yield pd.Series([model.score(t.split(), known) for t in texts], dtype="float64")
+            held = (texts.slice(at, HELD).to_pylist() for at in range(0, len(texts), HELD))
+            yield pa.array([model.score(t.split(), known) for part in held for t in part], pa.float64())
 
     return score(F.coalesce(F.col("text"), F.lit("")))
 
